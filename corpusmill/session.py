@@ -60,17 +60,18 @@ def _shared_folder(spark: SparkSession) -> str:
     return context._jsc.sc().getCheckpointDir().get()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` materialised in the shared folder, its lineage cut. For narrow tables."""
-    _shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+def store(df: DataFrame, name: str = "part") -> DataFrame:
+    """``df`` written as Parquet to the shared folder and read again.
 
-
-def store(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet to the shared folder and read again. For tables with texts."""
+    Its lineage is cut and executors may be lost. The optimizer starts afresh: DataFrame.checkpoint
+    keeps the constraints of its plan, whose number explodes in loops.
+    """
     path = f"{_shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+cut = store
 
 
 def spread(df: DataFrame) -> DataFrame:
