@@ -12,11 +12,13 @@ deviation 3.6, so a pair on the very threshold is missed with a chance of about
 0.85 with about 1 in 100 million. Pairs that share a key are screened by distance, then confirmed on
 their full sets (100 x intersection >= 80 x union).
 
-No group is expanded into all its pairs. Round 1 compares the members of each key with the key's
-smallest member only; confirmed links join classes into components. Later rounds take up the keys
-whose remaining members are still in different components: the ``CENTERS`` smallest of them are
-compared with all others of another component, then leave. A key with at most that many members is
-settled in one such round, a larger one in as many as it needs; none is capped.
+No group is expanded into all its pairs. First the members of each key are compared with one of them,
+the one that shares keys with most others; confirmed links join classes into components. What is left are keys whose
+members are still in different components, most of them around large groups of near copies that
+have drifted apart. Their classes go through a prefix filter, which is exact: with shingles in one
+order, rarest first, two sets of that similarity share one of the first n - ceil(0.8 n) + 1. Sets
+that drifted apart fill these places with shingles of their own, so almost no pairs are left; those
+of different components are confirmed, which settles every key.
 
 Null text, or text without words: no shingles, linked with nothing, kept. Fewer than WORDS words:
 the whole sequence is the one shingle. Rows that repeat an id are nodes of the same name: each is
@@ -29,20 +31,17 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusmill.llm.batches import append, fresh
-from corpusmill.session import broadcast_if_small, cut, spread
+from corpusmill.session import broadcast_if_small, cut, spread, store
 
 WORDS = 4
 CHUNKS, CHUNK = 16, 5
 POSITIONS = CHUNKS * CHUNK
 GUARANTEED = 2 * CHUNKS - 1
-#: Candidates up to this distance are confirmed on the full sets.
-SCREEN = 40
-CENTERS = 64
 MEMO = 500_000
 
 _random = np.random.RandomState(20240501)
@@ -157,20 +156,25 @@ def _screen(pairs: DataFrame, classes: DataFrame) -> DataFrame:
         for batch in batches:
             if batch.num_rows:
                 a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint16).reshape(-1, POSITIONS) for i in (2, 3))
-                near = np.count_nonzero(a != b, axis=1) <= SCREEN
+                near = np.count_nonzero(a != b, axis=1) <= GUARANTEED
                 yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(near))
 
     return sides.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
-def _confirm(pairs: DataFrame, classes: DataFrame, rows: DataFrame) -> DataFrame:
-    """Pairs whose full sets are similar enough. rows: doc_id, text of all documents."""
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+def _sets(nodes: DataFrame, classes: DataFrame, rows: DataFrame) -> DataFrame:
+    """node, n, set: the shingle sets of the classes ``nodes``, from one document of each class."""
     wanted = cut(nodes.join(classes.select("node", "low"), "node").select(F.col("low").alias("of"), "node"))
     picked = rows.join(broadcast_if_small(wanted), F.col("doc_id").eqNullSafe(F.col("of"))).select("node", "text")
-    sets = append(picked, ["text"], [("class", T.LongType()), ("set", T.BinaryType())], _profiler("class", "set"))
+    sets = append(picked, ["text"], [("class", T.LongType()), ("n", T.LongType()), ("set", T.BinaryType())], _profiler("class", "size", "set"))
     # an id may stand on several rows: those of other classes go, and of equal ones one stays
-    sets = cut(sets.filter("class = node").groupBy("node").agg(F.first("set").alias("set")))
+    sets = sets.filter("class = node").select("node", "n", "set")
+    return store(sets.groupBy("node").agg(F.first("n").alias("n"), F.first("set").alias("set")), "sets")
+
+
+def _confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs whose full sets are similar enough."""
+    sets = sets.select("node", "set")
     both = pairs.join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b")
 
     def run(batches):
@@ -185,6 +189,32 @@ def _confirm(pairs: DataFrame, classes: DataFrame, rows: DataFrame) -> DataFrame
     return both.select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long")
 
 
+def _prefix_pairs(sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different components that share a shingle of their prefixes. sets: node, comp, n, set."""
+
+    def run(batches):
+        for batch in batches:
+            for node, comp, n, found in zip(*batch.columns, strict=True):
+                found = np.frombuffer(found.as_buffer(), np.int64)
+                same = [pa.array(np.full(len(found), x.as_py(), np.int64)) for x in (node, comp, n)]
+                yield pa.RecordBatch.from_arrays([*same, pa.array(found)], names=["node", "comp", "n", "shingle"])
+
+    tokens = sets.select("node", "comp", "n", "set").mapInArrow(run, "node long, comp long, n long, shingle long")
+    shared = tokens.groupBy("shingle").agg(F.count(F.lit(1)).alias("df"), F.min("comp").alias("low"), F.max("comp").alias("high")).filter("df > 1")
+    ranked = tokens.join(shared, "shingle")
+    # shingles of one set alone come first in the order and match nothing: only their number counts
+    alone = F.col("n") - F.count(F.lit(1)).over(Window.partitionBy("node"))
+    place = F.row_number().over(Window.partitionBy("node").orderBy("df", "shingle")) + alone
+    length = F.col("n") - F.expr("(4 * n + 4) div 5") + 1
+    prefix = ranked.withColumn("place", place).filter(F.col("place") <= length).filter("low <> high")
+    prefix = store(prefix.select("shingle", "node", "comp", "n", "place"), "prefix")
+    pairs = prefix.toDF("shingle", "a", "ca", "na", "pa").join(prefix.toDF("shingle", "b", "cb", "nb", "pb"), "shingle")
+    # at their first common shingle, two sets hold as many more in common as the shorter rest has places:
+    # 100 x intersection >= 80 x union means 9 x intersection >= 4 x (sum of sizes)
+    near = pairs.filter("a < b AND ca <> cb AND 9 * (1 + least(na - pa, nb - pb)) >= 4 * (na + nb)")
+    return near.select("a", "b").distinct()
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, comp) of every node in ``edges`` (a, b): comp is the smallest node it reaches.
 
@@ -215,36 +245,23 @@ def components_again(edges: DataFrame, labels: DataFrame, rounds: int) -> DataFr
 def _links(classes: DataFrame, rows: DataFrame) -> DataFrame | None:
     """(node, comp) of classes linked with another; None if there are none."""
     expanded = _expand(classes)
-    shared = expanded.groupBy("key").agg(F.min("node").alias("center"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    shared = expanded.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     # keys that only one class has go no further
-    held = cut(expanded.join(shared.select("key", "center"), "key"))
-    pairs = held.filter("node <> center").select(F.col("center").alias("a"), F.col("node").alias("b")).distinct()
-    edges = cut(_confirm(cut(_screen(pairs, classes)), classes, rows))
-    left = held.filter("node <> center").select("key", "node")
-    labels = None
-    while True:
-        if not edges.isEmpty():
-            labels = components(edges)
-        now = left if labels is None else left.join(labels, "node", "left")
-        now = now.select("key", "node", (F.col("node") if labels is None else F.coalesce("comp", "node")).alias("comp"))
-        open_keys = now.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("key")
-        now = cut(now.join(open_keys, "key"))
-        if now.isEmpty():
-            return labels
-        centers = cut(smallest(now, "key", "node", CENTERS))
-        pairs = now.join(centers.toDF("key", "c_node", "c_comp"), "key").filter("node <> c_node AND comp <> c_comp")
-        pairs = pairs.select(F.least("node", "c_node").alias("a"), F.greatest("node", "c_node").alias("b")).distinct()
-        found = cut(_confirm(cut(_screen(pairs, classes)), classes, rows))
-        edges = cut(edges.union(found))
-        left = now.join(centers.select("key", "node"), ["key", "node"], "left_anti").select("key", "node")
-
-
-def smallest(rows: DataFrame, key: str, order: str, n: int) -> DataFrame:
-    """The ``n`` smallest rows of each key; tasks limit a key to ``n`` rows before the shuffle."""
-    from pyspark.sql import Window
-
-    rank = F.row_number().over(Window.partitionBy(key).orderBy(order))
-    return rows.withColumn("_rank", rank).filter(F.col("_rank") <= n).drop("_rank")
+    held = store(expanded.join(shared, "key"), "keys")
+    # a class that shares keys with many others is near the middle of its group
+    weighed = held.join(held.groupBy("node").agg(F.sum("n").alias("weight")), "node")
+    centers = weighed.groupBy("key").agg(F.max(F.struct("weight", "node")).getField("node").alias("center"))
+    pairs = held.join(centers, "key").filter("node <> center")
+    pairs = pairs.select(F.least("node", "center").alias("a"), F.greatest("node", "center").alias("b")).distinct()
+    sets = _sets(held.select("node").distinct(), classes, rows)
+    edges = store(_confirm(_screen(pairs, classes), sets), "edges")
+    labels = None if edges.isEmpty() else components(edges)
+    now = held.select("key", "node")
+    now = now.withColumn("comp", F.col("node")) if labels is None else now.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    split = now.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("key")
+    left = now.join(split, "key", "left_semi").select("node", "comp").distinct()
+    more = store(_confirm(_prefix_pairs(store(sets.join(left, "node"), "left")), sets), "edges")
+    return labels if more.isEmpty() else components(edges.union(more))
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
