@@ -38,7 +38,9 @@ def moving_cutoff(rows: DataFrame, key: str, seq: str, score: str, window: int =
 
     The row's own score counts. One score has no deviation: the row is kept.
     """
-    rows = look_back(rows, key, seq, window - 1, lambda f: {"mean": F.avg(score).over(f), "sd": F.stddev_samp(score).over(f)})
+    # sums of whole millionths don't depend on their order
+    millionths = F.round(F.col(score) * 1e6).cast("long")
+    rows = look_back(rows, key, seq, window - 1, lambda f: {"mean": F.avg(millionths).over(f) / 1e6, "sd": F.stddev_samp(score).over(f)})
     rows = rows.withColumns({"mean": F.round("mean", 6), "sd": F.round("sd", 6)})
     rows = rows.withColumn("cutoff", F.round(F.col("mean") - lower * F.col("sd"), 6))
     return rows.withColumn("keep", F.coalesce(F.col(score) >= F.col("cutoff"), F.lit(True)))

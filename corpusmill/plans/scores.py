@@ -90,7 +90,7 @@ def mask_digits(spark, sf_dir):
 
 
 _MOVING = """SELECT *, round(mean - 2 * sd, 6) AS cutoff, coalesce(score >= round(mean - 2 * sd, 6), true) AS keep FROM (
-SELECT doc_id, lang, score, round(avg(score) OVER f, 6) AS mean, round(stddev_samp(score) OVER f, 6) AS sd FROM ({rows})
+SELECT doc_id, lang, score, round(avg((score * 1e6)::BIGINT) OVER f / 1e6, 6) AS mean, round(stddev_samp(score) OVER f, 6) AS sd FROM ({rows})
 WINDOW f AS (PARTITION BY lang ORDER BY doc_id ROWS BETWEEN 499 PRECEDING AND CURRENT ROW))"""
 
 
