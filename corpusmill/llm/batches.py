@@ -48,9 +48,15 @@ def append(
 def bounded_sample(rows: DataFrame, label: str, key: str, per_label: int) -> DataFrame:
     """At most ``per_label`` rows for each value of ``label``: those whose ``key`` hashes lowest.
 
-    Spark limits each input task to ``per_label`` rows of a label before the shuffle, so a label
-    that holds most rows loads no task with more than (tasks x per_label) of them.
+    Aggregates first count each label by the top bits of the hash; only the few hash ranges that can
+    hold the lowest rows are ranked, so no task meets all rows of a label.
     """
-    order = Window.partitionBy(label).orderBy(F.xxhash64(F.col(key).cast("string")), F.col(key))
-    rank = fresh(rows, "rank")
-    return rows.withColumn(rank, F.row_number().over(order)).filter(F.col(rank) <= per_label).drop(rank)
+    order, part, rank = (fresh(rows, n) for n in ("hash_order", "hash_range", "rank"))
+    rows = rows.withColumn(order, F.xxhash64(F.col(key).cast("string")))
+    rows = rows.withColumn(part, F.shiftright(F.col(order), 48))
+    counts = rows.groupBy(label, part).count()
+    before = Window.partitionBy(label).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumn(rank, F.coalesce(F.sum("count").over(before), F.lit(0))).filter(F.col(rank) < per_label)
+    low = rows.join(F.broadcast(counts.select(label, part)), [label, part], "left_semi")
+    ranked = low.withColumn(rank, F.row_number().over(Window.partitionBy(label).orderBy(order, key)))
+    return ranked.filter(F.col(rank) <= per_label).drop(order, part, rank)

@@ -279,7 +279,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     else:
         every = classes.join(labels, "node", "left").select("node", "low", F.coalesce("comp", "node").alias("comp"))
         lows = every.groupBy("comp").agg(F.min("low").alias("component_id"))
-        reach = every.join(lows, "comp").select("node", "component_id")
+        # of components only those with links are many to one; a hot one must not gather in a task
+        linked = broadcast_if_small(cut(lows.join(labels.select("comp").distinct(), "comp")))
+        reach = every.join(linked, "comp", "left").select("node", F.coalesce("component_id", "low").alias("component_id"))
     joined = profiles.select("doc_id", "node", "n_shingles").join(reach, "node", "left")
     component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     out = joined.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), F.col("node").alias("class_id"))
