@@ -53,7 +53,7 @@ def bounded_sample(rows: DataFrame, label: str, key: str, per_label: int) -> Dat
     """
     order, part, rank = (fresh(rows, n) for n in ("hash_order", "hash_range", "rank"))
     rows = rows.withColumn(order, F.xxhash64(F.col(key).cast("string")))
-    rows = rows.withColumn(part, F.shiftright(F.col(order), 48))
+    rows = rows.withColumn(part, F.shiftright(F.col(order), 52))
     counts = rows.groupBy(label, part).count()
     before = Window.partitionBy(label).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.withColumn(rank, F.coalesce(F.sum("count").over(before), F.lit(0))).filter(F.col(rank) < per_label)
