@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import shutil
 import tempfile
@@ -38,8 +39,9 @@ def ship(spark: SparkSession) -> None:
     if getattr(context, "_corpusmill_shipped", False) or str(root) in found:
         return
     context._corpusmill_shipped = True
-    with tempfile.TemporaryDirectory() as folder:  # Spark copies the file at once
-        context.addPyFile(shutil.make_archive(f"{folder}/corpusmill", "zip", root, "corpusmill"))
+    folder = tempfile.mkdtemp(prefix="corpusmill-")  # Spark serves the file from here as long as the driver lives
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    context.addPyFile(shutil.make_archive(f"{folder}/corpusmill", "zip", root, "corpusmill"))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
