@@ -36,7 +36,7 @@ def cluster_tree(spark, sf_dir):
 @query()
 def tree_search(spark, sf_dir):
     rows = _vectors(spark, sf_dir)
-    return vectors.tree_search(vectors.cluster_tree(rows), rows.filter("vec_id % 100 = 0"))
+    return vectors.tree_search(vectors.cluster_tree(rows), rows.filter("vec_id % 100 = 0"), width=50)
 
 
 @query(f"""WITH b AS ({_QUERIES['bm25_topk'][1]}), v AS (SELECT (vec_id // 100)::BIGINT AS query_id, nn_id AS doc_id, score FROM ({_TOP}))
