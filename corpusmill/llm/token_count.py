@@ -5,7 +5,9 @@ score. An Aho-Corasick automaton gives all pieces that end at a position; the dy
 carries only the best score and its number of pieces. The tie rules are those of SentencePiece's
 unigram encoder: at equal score the piece that starts first stays, a character without a piece of
 its own costs the lowest score less 10 and counts as its UTF-8 bytes (byte fallback) or as one.
-Scores are summed exactly, so a count does not depend on how long the text before it is.
+Scores are held in single precision and relative to the best path to the position reached, as that
+encoder holds them: a count does not depend on how long the text before it is, and paths that differ
+by less than a step of single precision tie as they do there.
 
 No piece holds a space mark behind another character and none holds a character outside the
 vocabulary's alphabet, so a text falls into words that are counted apart; each task keeps the
@@ -74,13 +76,23 @@ def read_vocabulary(path: str) -> tuple[dict[str, float], bool]:
     return pieces, fallback
 
 
+_FLOAT = struct.Struct("<f")
+
+
+def _single(value: float) -> float:
+    """``value`` rounded to single precision; sums of whole numbers this small are exact."""
+    if -16777216.0 < value < 16777216.0 and value.is_integer():
+        return value
+    return _FLOAT.unpack(_FLOAT.pack(value))[0]
+
+
 class Counter:
     """Counts the pieces of texts under a unigram vocabulary."""
 
     def __init__(self, pieces: dict[str, float], byte_fallback: bool):
         if any(MARK in p.lstrip(MARK) for p in pieces):
             raise ValueError("a piece holds a space mark behind another character: words can't be counted apart")
-        self.unknown = min(pieces.values()) - UNKNOWN_PENALTY
+        self.unknown = _single(min(pieces.values()) - UNKNOWN_PENALTY)
         self.bytes = byte_fallback
         self.alphabet = set("".join(pieces))
         self.single = {p for p in pieces if len(p) == 1}
@@ -93,24 +105,22 @@ class Counter:
 
     def word(self, chunk: str) -> int:
         """Pieces on the best path through ``chunk`` (space marks in place)."""
-        best, count = [0.0], [0]
-        matches = self.automaton.iter(chunk)
-        end, match = next(matches, (len(chunk), None))
-        for i, char in enumerate(chunk):
-            top, n = None, 0
-            while end == i:  # longest first: the piece that starts first
-                length, score = match
-                score += best[i + 1 - length]
-                if top is None or score > top:
-                    top, n = score, count[i + 1 - length] + 1
-                end, match = next(matches, (len(chunk), None))
+        pieces: list[list[tuple[int, float]]] = [[] for _ in chunk]
+        for last, (length, score) in self.automaton.iter(chunk):
+            pieces[last + 1 - length].append((last + 1, score))
+        #: end -> (score relative to the position reached, pieces) of the best path to each open end
+        ends: dict[int, tuple[float, int]] = {0: (0.0, 0)}
+        for start, char in enumerate(chunk):
+            here, count = ends.pop(start)
+            if here:
+                ends = {end: (_single(score - here), n) for end, (score, n) in ends.items()}
+            steps = [(end, score, 1) for end, score in pieces[start]]
             if char not in self.single:
-                score = best[i] + self.unknown
-                if top is None or score > top:
-                    top, n = score, count[i] + (len(char.encode("utf-8", "surrogatepass")) if self.bytes else 1)
-            best.append(top)
-            count.append(n)
-        return count[-1]
+                steps.append((start + 1, self.unknown, len(char.encode("utf-8", "surrogatepass")) if self.bytes else 1))
+            for end, score, n in steps:
+                if end not in ends or score > ends[end][0]:
+                    ends[end] = score, count + n
+        return ends[len(chunk)][1]
 
     def text(self, text: str | None) -> int:
         if not text:
