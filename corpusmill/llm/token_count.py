@@ -5,13 +5,16 @@ score. An Aho-Corasick automaton gives all pieces that end at a position; the dy
 carries only the best score and its number of pieces. The tie rules are those of SentencePiece's
 unigram encoder: at equal score the piece that starts first stays, a character without a piece of
 its own costs the lowest score less 10 and counts as its UTF-8 bytes (byte fallback) or as one.
-Scores are held in single precision and relative to the best path to the position reached, as that
-encoder holds them: a count does not depend on how long the text before it is, and paths that differ
-by less than a step of single precision tie as they do there.
+A run of such characters counts as one token without byte fallback.
+
+Scores are summed in single precision. Where the best score at a position is beyond ``RESCALE``, it
+is taken from all open paths, as that encoder does, so long texts keep their precision. Paths
+that a step of single precision does not tell apart tie as they do there (the file's run of space
+marks costs a thousand million, where a step is 64).
 
 No piece holds a space mark behind another character and none holds a character outside the
-vocabulary's alphabet, so a text falls into words that are counted apart; each task keeps the
-counts of the words it has seen (at most ``MEMO``, then it starts anew).
+vocabulary's alphabet, so a text falls into words: all paths meet between two, and only the score
+there passes on. A task keeps the words it has seen behind each score (about ``MEMO``, then it starts anew).
 
 Null text: 0 tokens. Empty text: 0 tokens. Other columns are dropped; repeated rows stay.
 """
@@ -33,6 +36,8 @@ MARK = "▁"
 NORMAL, UNKNOWN, BYTE = 1, 2, 6
 #: SentencePiece's penalty for a character that no piece covers.
 UNKNOWN_PENALTY = 10.0
+#: The score beyond which SentencePiece takes the best score from all open paths.
+RESCALE = 100_000.0
 MEMO = 400_000
 
 
@@ -86,6 +91,22 @@ def _single(value: float) -> float:
     return _FLOAT.unpack(_FLOAT.pack(value))[0]
 
 
+class State(dict):
+    """Where a path stands between two words: chunk -> (its pieces, the state behind it)."""
+
+    def __init__(self, counter: Counter, score: float, unknown: bool):
+        self.counter, self.score, self.unknown = counter, score, unknown
+
+    def __missing__(self, chunk: str) -> tuple[int, State]:
+        counter = self.counter
+        n, score, unknown = counter.word(chunk.replace(" ", MARK), self.score, self.unknown)
+        found = n, counter.state(score, unknown)
+        if len(chunk) <= 64:
+            counter.seen += 1
+            self[chunk] = found
+        return found
+
+
 class Counter:
     """Counts the pieces of texts under a unigram vocabulary."""
 
@@ -100,50 +121,58 @@ class Counter:
         for piece, score in pieces.items():
             self.automaton.add_word(piece, (len(piece), score))
         self.automaton.make_automaton()
-        self.newline_apart = "\n" not in self.alphabet
-        self.memo: dict[str, int] = {}
-
-    def word(self, chunk: str) -> int:
-        """Pieces on the best path through ``chunk`` (space marks in place)."""
+        self.chunks = CHUNKS if "\n" not in self.alphabet else WORDS
+        self.states: dict[tuple[float, bool], State] = {}
+        self.seen = 0
+
+    def state(self, score: float, unknown: bool) -> State:
+        key = (0.0 if abs(score) > RESCALE else score), unknown
+        if key not in self.states:
+            self.states[key] = State(self, *key)
+        return self.states[key]
+
+    def word(self, chunk: str, score: float = 0.0, unknown: bool = False) -> tuple[int, float, bool]:
+        """Pieces on the best path through ``chunk`` (space marks in place), its score, whether it ends unknown."""
         pieces: list[list[tuple[int, float]]] = [[] for _ in chunk]
-        for last, (length, score) in self.automaton.iter(chunk):
-            pieces[last + 1 - length].append((last + 1, score))
-        #: end -> (score relative to the position reached, pieces) of the best path to each open end
-        ends: dict[int, tuple[float, int]] = {0: (0.0, 0)}
+        for last, (length, worth) in self.automaton.iter(chunk):
+            pieces[last + 1 - length].append((last + 1, worth))
+        #: end -> (score, pieces, ends unknown) of the best path to each open end
+        ends = {0: (score, 0, unknown)}
         for start, char in enumerate(chunk):
-            here, count = ends.pop(start)
-            if here:
-                ends = {end: (_single(score - here), n) for end, (score, n) in ends.items()}
-            steps = [(end, score, 1) for end, score in pieces[start]]
+            here, count, unknown = ends.pop(start)
+            if abs(here) > RESCALE:
+                ends = {end: (_single(score - here), n, u) for end, (score, n, u) in ends.items()}
+                here = 0.0
+            for end, worth in pieces[start]:
+                total = _single(here + worth)
+                if end not in ends or total > ends[end][0]:
+                    ends[end] = total, count + 1, False
             if char not in self.single:
-                steps.append((start + 1, self.unknown, len(char.encode("utf-8", "surrogatepass")) if self.bytes else 1))
-            for end, score, n in steps:
-                if end not in ends or score > ends[end][0]:
-                    ends[end] = score, count + n
-        return ends[len(chunk)][1]
+                total, end = _single(here + self.unknown), start + 1
+                if end not in ends or total > ends[end][0]:
+                    n = len(char.encode("utf-8", "surrogatepass")) if self.bytes else not unknown
+                    ends[end] = total, count + n, True
+        score, count, unknown = ends[len(chunk)]
+        return count, score, unknown and not self.bytes
 
     def text(self, text: str | None) -> int:
         if not text:
             return 0
-        memo, total = self.memo, 0
-        if self.newline_apart:
-            total = text.count("\n")
-            chunks = CHUNKS.findall(f" {text.replace(MARK, ' ')}")
-        else:
-            chunks = re.findall(" +[^ ]*", f" {text.replace(MARK, ' ')}")
-        for chunk in chunks:
-            n = memo.get(chunk)
-            if n is None:
-                n = self.word(chunk.replace(" ", MARK))
-                if len(memo) >= MEMO:
-                    memo.clear()
-                if len(chunk) <= 64:
-                    memo[chunk] = n
+        if self.seen >= MEMO:
+            for state in self.states.values():
+                state.clear()
+            self.states.clear()
+            self.seen = 0
+        total, state = 0, self.state(0.0, False)
+        for chunk in self.chunks.findall(f" {text.replace(MARK, ' ')}"):
+            n, state = state[chunk]
             total += n
         return total
 
 
-CHUNKS = re.compile(" +[^ \n]*|[^ \n]+")
+WORDS = re.compile(" +[^ ]*")
+#: For vocabularies without a piece that holds a line end.
+CHUNKS = re.compile(" +[^ \n]*|[^ \n]+|\n")
 
 
 def token_counts(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "text") -> DataFrame:
