@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import re
 import struct
+import uuid
 from collections.abc import Iterator
 
 import ahocorasick
@@ -38,7 +39,11 @@ NORMAL, UNKNOWN, BYTE = 1, 2, 6
 UNKNOWN_PENALTY = 10.0
 #: The score beyond which SentencePiece takes the best score from all open paths.
 RESCALE = 100_000.0
-MEMO = 400_000
+MEMO = 600_000
+#: Characters of the longest word that is kept.
+LONGEST = 64
+#: Whole numbers below are exact in single precision.
+WHOLE = 16_777_216.0
 
 
 def _fields(raw: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -86,25 +91,15 @@ _FLOAT = struct.Struct("<f")
 
 def _single(value: float) -> float:
     """``value`` rounded to single precision; sums of whole numbers this small are exact."""
-    if -16777216.0 < value < 16777216.0 and value.is_integer():
+    if -WHOLE < value < WHOLE and value.is_integer():
         return value
     return _FLOAT.unpack(_FLOAT.pack(value))[0]
 
 
-class State(dict):
-    """Where a path stands between two words: chunk -> (its pieces, the state behind it)."""
-
-    def __init__(self, counter: Counter, score: float, unknown: bool):
-        self.counter, self.score, self.unknown = counter, score, unknown
-
-    def __missing__(self, chunk: str) -> tuple[int, State]:
-        counter = self.counter
-        n, score, unknown = counter.word(chunk.replace(" ", MARK), self.score, self.unknown)
-        found = n, counter.state(score, unknown)
-        if len(chunk) <= 64:
-            counter.seen += 1
-            self[chunk] = found
-        return found
+#: Where all paths meet between two words: their score, and whether the best ends in an unknown run.
+State = tuple[float, bool]
+#: (end, score, pieces, ends unknown) of the best path to each open end.
+Ends = tuple[tuple[int, float, int, bool], ...]
 
 
 class Counter:
@@ -115,57 +110,126 @@ class Counter:
             raise ValueError("a piece holds a space mark behind another character: words can't be counted apart")
         self.unknown = _single(min(pieces.values()) - UNKNOWN_PENALTY)
         self.bytes = byte_fallback
-        self.alphabet = set("".join(pieces))
         self.single = {p for p in pieces if len(p) == 1}
         self.automaton = ahocorasick.Automaton()
         for piece, score in pieces.items():
             self.automaton.add_word(piece, (len(piece), score))
         self.automaton.make_automaton()
-        self.chunks = CHUNKS if "\n" not in self.alphabet else WORDS
-        self.states: dict[tuple[float, bool], State] = {}
+        alphabet = set("".join(pieces))
+        self.chunks = CHUNKS if "\n" not in alphabet else WORDS
+        self.whole = all(score.is_integer() for score in pieces.values())
+        self.mark = self._far_mark(pieces) if self.whole and "\n" not in alphabet else None
+        #: chunk -> (state -> open ends behind its first character, open ends -> what ``word`` gives)
+        self.words: dict[str, tuple[dict[State, Ends], dict[Ends, tuple[int, State]]]] = {}
+        #: the former part of ``words``, shared by chunks that start with the same pieces
+        self.starts: dict[tuple, dict[State, Ends]] = {}
         self.seen = 0
 
-    def state(self, score: float, unknown: bool) -> State:
-        key = (0.0 if abs(score) > RESCALE else score), unknown
-        if key not in self.states:
-            self.states[key] = State(self, *key)
-        return self.states[key]
+    @staticmethod
+    def _far_mark(pieces: dict[str, float]) -> float | None:
+        """The mark's score if it is so low that only a fraction of a state's score matters behind it."""
+        mark = pieces.get(MARK, 0.0)
+        near = all(score == mark or abs(score) < WHOLE / 2 for p, score in pieces.items() if p.startswith(MARK))
+        return mark if near and mark < -WHOLE else None
 
-    def word(self, chunk: str, score: float = 0.0, unknown: bool = False) -> tuple[int, float, bool]:
-        """Pieces on the best path through ``chunk`` (space marks in place), its score, whether it ends unknown."""
+    def state(self, score: float, unknown: bool) -> State:
+        """The state that goes on as this one does.
+
+        A chunk starts with a mark or is a line end (or stands behind one, where the score is 0). Behind a
+        far mark the other paths are held relative to its own, rounded: only what rounding took remains.
+        """
+        unknown = unknown and not self.bytes
+        if abs(score) > RESCALE:
+            return 0.0, unknown
+        if self.mark is not None and score.is_integer():
+            rest = score + self.mark - _single(score + self.mark)
+            if _single(rest + self.mark) == self.mark:
+                return rest, unknown
+        return score, unknown
+
+    def matches(self, chunk: str) -> list[list[tuple[int, float]]]:
+        """For each position of ``chunk`` (space marks in place) the (end, score) of the pieces that start there."""
         pieces: list[list[tuple[int, float]]] = [[] for _ in chunk]
         for last, (length, worth) in self.automaton.iter(chunk):
             pieces[last + 1 - length].append((last + 1, worth))
-        #: end -> (score, pieces, ends unknown) of the best path to each open end
-        ends = {0: (score, 0, unknown)}
-        for start, char in enumerate(chunk):
-            here, count, unknown = ends.pop(start)
-            if abs(here) > RESCALE:
-                ends = {end: (_single(score - here), n, u) for end, (score, n, u) in ends.items()}
+        return pieces
+
+    def _unknown(self, char: str, unknown: bool) -> int:
+        """Pieces that an uncovered character adds."""
+        return len(char.encode("utf-8", "surrogatepass")) if self.bytes else int(not unknown)
+
+    def begin(self, char: str, pieces: list[tuple[int, float]], state: State, more: bool) -> Ends:
+        """Open ends behind the first character, relative to the best path there if ``more`` characters follow."""
+        score, unknown = state
+        ends = [(end, _single(score + worth), 1, False) for end, worth in pieces]
+        if char not in self.single:
+            ends.append((1, _single(score + self.unknown), self._unknown(char, unknown), True))
+        here = next(total for end, total, _, _ in ends if end == 1)
+        if more and abs(here) > RESCALE:
+            ends = [(end, _single(total - here), n, u) for end, total, n, u in ends]
+        return tuple(ends)
+
+    def finish(self, chunk: str, pieces: list[list[tuple[int, float]]], ends: Ends) -> tuple[int, State]:
+        """Pieces on the best path through ``chunk`` from the open ends, and the state behind it."""
+        size, whole, single = len(chunk), self.whole, self.single
+        best: list[float | None] = [None] * (size + 1)
+        count, runs, far = [0] * (size + 1), [False] * (size + 1), 1
+        for end, total, n, u in ends:
+            best[end], count[end], runs[end], far = total, n, u, max(far, end)
+        for start in range(1, size):
+            here, n = best[start], count[start] + 1
+            if not -RESCALE <= here <= RESCALE:
+                for end in range(start + 1, far + 1):
+                    if best[end] is not None:
+                        best[end] = _single(best[end] - here)
                 here = 0.0
             for end, worth in pieces[start]:
-                total = _single(here + worth)
-                if end not in ends or total > ends[end][0]:
-                    ends[end] = total, count + 1, False
-            if char not in self.single:
+                total = here + worth
+                if not (whole and -WHOLE < total < WHOLE):
+                    total = _single(total)
+                if best[end] is None or total > best[end]:
+                    best[end], count[end], runs[end] = total, n, False
+                    if end > far:
+                        far = end
+            if chunk[start] not in single:
                 total, end = _single(here + self.unknown), start + 1
-                if end not in ends or total > ends[end][0]:
-                    n = len(char.encode("utf-8", "surrogatepass")) if self.bytes else not unknown
-                    ends[end] = total, count + n, True
-        score, count, unknown = ends[len(chunk)]
-        return count, score, unknown and not self.bytes
+                if best[end] is None or total > best[end]:
+                    best[end], count[end], runs[end] = total, count[start] + self._unknown(chunk[start], runs[start]), True
+                    far = max(far, end)
+        return count[size], self.state(best[size], runs[size])
+
+    def word(self, chunk: str, state: State) -> tuple[int, State]:
+        """Pieces on the best path through ``chunk`` and the state behind it; kept for the next time."""
+        text = chunk.replace(" ", MARK)
+        pieces = self.matches(text)
+        kept = self.words.get(chunk)
+        if kept is None:
+            start = text[0], tuple(pieces[0]), len(text) > 1
+            kept = self.starts.setdefault(start, {}), {}
+            if len(chunk) <= LONGEST:
+                self.words[chunk] = kept
+        behind, found = kept
+        ends = behind.get(state)
+        if ends is None:
+            ends = behind[state] = self.begin(text[0], pieces[0], state, len(text) > 1)
+            self.seen += 1
+        if ends not in found:
+            found[ends] = self.finish(text, pieces, ends)
+            self.seen += 1
+        return found[ends]
 
     def text(self, text: str | None) -> int:
         if not text:
             return 0
         if self.seen >= MEMO:
-            for state in self.states.values():
-                state.clear()
-            self.states.clear()
+            self.words.clear()
+            self.starts.clear()
             self.seen = 0
-        total, state = 0, self.state(0.0, False)
+        total, state, words = 0, (0.0, False), self.words
         for chunk in self.chunks.findall(f" {text.replace(MARK, ' ')}"):
-            n, state = state[chunk]
+            kept = words.get(chunk)
+            hit = kept and kept[1].get(kept[0].get(state))
+            n, state = hit or self.word(chunk, state)
             total += n
         return total
 
@@ -175,6 +239,10 @@ WORDS = re.compile(" +[^ ]*")
 CHUNKS = re.compile(" +[^ \n]*|[^ \n]+|\n")
 
 
+#: The counter of the last query that a worker served, with the words it has seen.
+_kept: dict[str, Counter] = {}
+
+
 def token_counts(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n_tokens: tokens of each whole text under the vocabulary file ``vocabulary``.
 
@@ -185,8 +253,13 @@ def token_counts(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: st
         raise ValueError("the vocabulary is too large to broadcast")
     shared = docs.sparkSession.sparkContext.broadcast((pieces, fallback))
 
+    name = uuid.uuid4().hex
+
     def setup():
-        counter = Counter(*shared.value)
+        counter = _kept.get(name)
+        if counter is None:
+            _kept.clear()
+            counter = _kept[name] = Counter(*shared.value)
         return lambda texts: ([counter.text(t) for t in texts],)
 
     rows = spread(docs.select(key, text))

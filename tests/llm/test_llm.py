@@ -133,20 +133,53 @@ def test_token_counts_equal_a_plain_dynamic_programme():
     assert counter.text(None) == counter.text("") == 0
 
 
-@pytest.mark.xfail(strict=False, reason="open: the library gives other pieces for this file read as unigram; see README")
-def test_token_counts_agree_with_the_library():
+def _message(number, body):
+    size, head = len(body), bytes([number << 3 | 2])
+    while size > 127:
+        head, size = head + bytes([size & 127 | 128]), size >> 7
+    return head + bytes([size]) + body
+
+
+def _as_unigram(path, keep=lambda piece: True, fallback=True):
+    """The library's encoder over the file read as a unigram model, of the pieces that ``keep`` takes."""
     sentencepiece = pytest.importorskip("sentencepiece")
-    path = VOCABULARY
-    raw = open(path, "rb").read()
-    # the same file with model_type (trainer field 3) set to unigram
-    trainer = next(bytes(v) for k, v in token_count._fields(raw) if k == 2)
-    assert dict(token_count._fields(trainer))[3] == 2
-    changed = trainer.replace(b"\x18\x02", b"\x18\x01", 1)
-    assert dict(token_count._fields(changed))[3] == 1
-    unigram = sentencepiece.SentencePieceProcessor(model_proto=raw.replace(trainer, changed))
-    counter = token_count.Counter(*token_count.read_vocabulary(path))
-    texts = ["the cat sat on the mat", "hello world of tokens", "Der einer enpfber"]
-    assert [counter.text(t) for t in texts] == [len(unigram.encode(t)) for t in texts]
+    out = b""
+    for number, value in token_count._fields(open(path, "rb").read()):
+        if number == 2:
+            assert dict(token_count._fields(value))[3] == 2
+            value = value.replace(b"\x18\x02", b"\x18\x01", 1)
+            if not fallback:
+                value = value.replace(b"\x98\x02\x01", b"\x98\x02\x00", 1)
+        if number != 1 or keep(dict(token_count._fields(value))):
+            out += _message(number, value)
+    return sentencepiece.SentencePieceProcessor(model_proto=out), out
+
+
+def test_token_counts_agree_with_the_library(tmp_path):
+    encoder, _ = _as_unigram(VOCABULARY)
+    pieces, fallback = token_count.read_vocabulary(VOCABULARY)
+    counter = token_count.Counter(pieces, fallback)
+    assert counter.mark is not None
+    words = [p.lstrip("▁") for p in pieces][::3]
+    rng = random.Random(6)
+    long = ["".join(rng.choices([w for w in words if w.isalpha()], k=k)) + " the and have cont theme" for k in (5, 50, 500)]
+    odd = ["", " ", "  ", "a\nb", "\n", "\n\n the", " the", "the  and ", "x\u2028 the", "日本語 the", "▁ the", "\x00 and", "a\tthe", "the\n  the"]
+    mixed = [" ".join(rng.choices([*words, "the", "and", "have", "\n", "\nthe"], k=rng.randint(1, 300))) for _ in range(200)]
+    texts = [*words, *long, *odd, *mixed]
+    assert [counter.text(t) for t in texts] == [len(encoder.encode(t)) for t in texts]
+    # the words seen change no count
+    assert [counter.text(t) for t in mixed] == [token_count.Counter(pieces, fallback).text(t) for t in mixed[:5]] + [len(encoder.encode(t)) for t in mixed[5:]]
+
+
+def test_token_counts_without_byte_fallback_join_runs_of_unknown_characters(tmp_path):
+    encoder, raw = _as_unigram(VOCABULARY, lambda piece: piece.get(3, 1) != token_count.BYTE, fallback=False)
+    path = tmp_path / "some.model"
+    path.write_bytes(raw)
+    pieces, fallback = token_count.read_vocabulary(str(path))
+    assert not fallback
+    counter = token_count.Counter(pieces, fallback)
+    texts = ["a\n\n\nb", "\n\n", "\x01\x02 the", "the\n", "x\u2028\u2029y \x01", "\n \n", "ᚠᚢᚦ\nᚠ"]
+    assert [counter.text(t) for t in texts] == [len(encoder.encode(t)) for t in texts]
 
 
 def test_suffix_automaton_parses_by_longest_match():
