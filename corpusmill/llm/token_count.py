@@ -25,6 +25,7 @@ import re
 import struct
 import uuid
 from collections.abc import Iterator
+from operator import itemgetter
 
 import ahocorasick
 from pyspark.sql import DataFrame
@@ -96,10 +97,12 @@ def _single(value: float) -> float:
     return _FLOAT.unpack(_FLOAT.pack(value))[0]
 
 
-#: Where all paths meet between two words: their score, and whether the best ends in an unknown run.
-State = tuple[float, bool]
+#: Number of a place where all paths meet between two words: their score, and whether the best ends in an unknown run.
+State = int
 #: (end, score, pieces, ends unknown) of the best path to each open end.
 Ends = tuple[tuple[int, float, int, bool], ...]
+#: (last position, (length, score)) of a piece found in a chunk.
+Match = tuple[int, tuple[int, float]]
 
 
 class Counter:
@@ -119,10 +122,20 @@ class Counter:
         self.chunks = CHUNKS if "\n" not in alphabet else WORDS
         self.whole = all(score.is_integer() for score in pieces.values())
         self.mark = self._far_mark(pieces) if self.whole and "\n" not in alphabet else None
-        #: chunk -> (state -> open ends behind its first character, open ends -> what ``word`` gives)
-        self.words: dict[str, tuple[dict[State, Ends], dict[Ends, tuple[int, State]]]] = {}
-        #: the former part of ``words``, shared by chunks that start with the same pieces
-        self.starts: dict[tuple, dict[State, Ends]] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        """Drops the words seen. What repeats (states, open ends, results) is held once, by number."""
+        #: chunk -> (state -> open ends behind its first character, first open ends met, what ``word`` gave, the same for others)
+        self.words: dict[str, tuple[dict[State, int], int, tuple[int, State], dict[int, tuple[int, State]] | None]] = {}
+        #: the first part of ``words``, shared by chunks that start with the same pieces
+        self.starts: dict[tuple, dict[State, int]] = {}
+        self.open: dict[Ends, int] = {}
+        self.results: dict[tuple[int, State], tuple[int, State]] = {}
+        #: whole score behind a word -> its state
+        self.ahead: dict[float, State] = {}
+        self.numbers: dict[tuple[float, bool], State] = {(0.0, False): 0}
+        self.states = [(0.0, False)]
         self.seen = 0
 
     @staticmethod
@@ -140,19 +153,15 @@ class Counter:
         """
         unknown = unknown and not self.bytes
         if abs(score) > RESCALE:
-            return 0.0, unknown
-        if self.mark is not None and score.is_integer():
+            score = 0.0
+        elif self.mark is not None and score.is_integer():
             rest = score + self.mark - _single(score + self.mark)
             if _single(rest + self.mark) == self.mark:
-                return rest, unknown
-        return score, unknown
-
-    def matches(self, chunk: str) -> list[list[tuple[int, float]]]:
-        """For each position of ``chunk`` (space marks in place) the (end, score) of the pieces that start there."""
-        pieces: list[list[tuple[int, float]]] = [[] for _ in chunk]
-        for last, (length, worth) in self.automaton.iter(chunk):
-            pieces[last + 1 - length].append((last + 1, worth))
-        return pieces
+                score = rest
+        number = self.numbers.setdefault((score, unknown), len(self.states))
+        if number == len(self.states):
+            self.states.append((score, unknown))
+        return number
 
     def _unknown(self, char: str, unknown: bool) -> int:
         """Pieces that an uncovered character adds."""
@@ -160,7 +169,7 @@ class Counter:
 
     def begin(self, char: str, pieces: list[tuple[int, float]], state: State, more: bool) -> Ends:
         """Open ends behind the first character, relative to the best path there if ``more`` characters follow."""
-        score, unknown = state
+        score, unknown = self.states[state]
         ends = [(end, _single(score + worth), 1, False) for end, worth in pieces]
         if char not in self.single:
             ends.append((1, _single(score + self.unknown), self._unknown(char, unknown), True))
@@ -169,8 +178,11 @@ class Counter:
             ends = [(end, _single(total - here), n, u) for end, total, n, u in ends]
         return tuple(ends)
 
-    def finish(self, chunk: str, pieces: list[list[tuple[int, float]]], ends: Ends) -> tuple[int, State]:
+    def finish(self, chunk: str, matches: list[Match], ends: Ends) -> tuple[int, State]:
         """Pieces on the best path through ``chunk`` from the open ends, and the state behind it."""
+        pieces: list[list[tuple[int, float]]] = [[] for _ in chunk]
+        for last, (length, worth) in matches:
+            pieces[last + 1 - length].append((last + 1, worth))
         size, whole, single = len(chunk), self.whole, self.single
         best: list[float | None] = [None] * (size + 1)
         count, runs, far = [0] * (size + 1), [False] * (size + 1), 1
@@ -198,38 +210,81 @@ class Counter:
                     far = max(far, end)
         return count[size], self.state(best[size], runs[size])
 
+    def finish_behind_mark(self, chunk: str, matches: list[Match], ends: Ends) -> tuple[int, State]:
+        """As ``finish``, where the path over the bare far mark loses to all others and sums are exact.
+
+        All ends but the first lie some thousand million above it. From the nearest of them on, a position's
+        best score needs no rounding; taking scores away from all open paths only moves the origin.
+        """
+        size = len(chunk)
+        best: list[float | None] = [None] * (size + 1)
+        count = [0] * (size + 1)
+        near, base, _, _ = min(ends[1:])
+        for end, total, n, _ in ends[1:]:
+            best[end], count[end] = total - base, n
+        origin, at = 0.0, near
+        for last, (length, worth) in matches:
+            start = last + 1 - length
+            if start >= near:
+                if last > at:
+                    at = last
+                    if not -RESCALE <= best[at] - origin <= RESCALE:
+                        origin = best[at]
+                total = best[start] + worth
+                known = best[last + 1]
+                if known is None or total > known:
+                    best[last + 1] = total
+                    count[last + 1] = count[start] + 1
+        score = best[size] - origin if size > near else base
+        state = self.ahead.get(score)
+        if state is None:
+            state = self.ahead[score] = self.state(score, False)
+        return count[size], state
+
     def word(self, chunk: str, state: State) -> tuple[int, State]:
         """Pieces on the best path through ``chunk`` and the state behind it; kept for the next time."""
         text = chunk.replace(" ", MARK)
-        pieces = self.matches(text)
+        size = len(text)
+        matches = list(self.automaton.iter(text))
+        first = [(length, worth) for last, (length, worth) in matches if last + 1 == length]
         kept = self.words.get(chunk)
-        if kept is None:
-            start = text[0], tuple(pieces[0]), len(text) > 1
-            kept = self.starts.setdefault(start, {}), {}
-            if len(chunk) <= LONGEST:
-                self.words[chunk] = kept
-        behind, found = kept
-        ends = behind.get(state)
-        if ends is None:
-            ends = behind[state] = self.begin(text[0], pieces[0], state, len(text) > 1)
-            self.seen += 1
-        if ends not in found:
-            found[ends] = self.finish(text, pieces, ends)
-            self.seen += 1
-        return found[ends]
+        behind = kept[0] if kept else self.starts.setdefault((text[0], tuple(first), size > 1), {})
+        ends = self.begin(text[0], first, state, size > 1)
+        number = behind[state] = self.open.setdefault(ends, len(self.open))
+        self.seen += 1
+        more = kept and (kept[3] or {kept[1]: kept[2]})
+        if more and number in more:
+            return more[number]
+        far = self.mark is not None and 2 < size <= LONGEST and len(ends) > 1 and text[0] == MARK != text[1]
+        if far and min(ends[1:], key=itemgetter(1))[1] > WHOLE and self.single.issuperset(text):
+            result = self.finish_behind_mark(text, matches, ends)
+        else:
+            result = self.finish(text, matches, ends)
+        result = self.results.setdefault(result, result)
+        if more:
+            self.words[chunk] = kept[0], kept[1], kept[2], more | {number: result}
+        elif size <= LONGEST:
+            self.words[chunk] = behind, number, result, None
+        return result
 
     def text(self, text: str | None) -> int:
         if not text:
             return 0
         if self.seen >= MEMO:
-            self.words.clear()
-            self.starts.clear()
-            self.seen = 0
-        total, state, words = 0, (0.0, False), self.words
+            self.forget()
+        total, state, words = 0, 0, self.words
         for chunk in self.chunks.findall(f" {text.replace(MARK, ' ')}"):
             kept = words.get(chunk)
-            hit = kept and kept[1].get(kept[0].get(state))
-            n, state = hit or self.word(chunk, state)
+            if kept:
+                behind, number, result, more = kept
+                met = behind.get(state)
+                if met != number:
+                    result = more and more.get(met)
+                if result:
+                    n, state = result
+                    total += n
+                    continue
+            n, state = self.word(chunk, state)
             total += n
         return total
 
