@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -62,14 +64,29 @@ def _shared_folder(spark: SparkSession) -> str:
     return context._jsc.sc().getCheckpointDir().get()
 
 
-def store(df: DataFrame, name: str = "part") -> DataFrame:
+@contextlib.contextmanager
+def batches_of(spark: SparkSession, rows: int | None) -> Iterator[None]:
+    """What runs inside passes at most ``rows`` rows (None: as set) to Python at once."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    if rows is not None:
+        spark.conf.set(key, min(rows, int(before)) if int(before) > 0 else rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def store(df: DataFrame, name: str = "part", batch: int | None = None) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read again.
 
     Its lineage is cut and executors may be lost. The optimizer starts afresh: DataFrame.checkpoint
-    keeps the constraints of its plan, whose number explodes in loops.
+    keeps the constraints of its plan, whose number explodes in loops. ``batch`` bounds the rows of an
+    Arrow batch on the way, for rows that may be very long.
     """
     path = f"{_shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with batches_of(df.sparkSession, batch):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
