@@ -42,7 +42,9 @@ WORDS = 4
 CHUNKS, CHUNK = 16, 5
 POSITIONS = CHUNKS * CHUNK
 GUARANTEED = 2 * CHUNKS - 1
-MEMO = 500_000
+MEMO = 100_000
+#: Rows of an Arrow batch with whole texts or sets: a pair of sets of 20,000 shingles takes 320 KB.
+BATCH = 256
 
 _random = np.random.RandomState(20240501)
 _A = _random.randint(1, 2**62, POSITIONS, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
@@ -169,7 +171,7 @@ def _sets(nodes: DataFrame, classes: DataFrame, rows: DataFrame) -> DataFrame:
     sets = append(picked, ["text"], [("class", T.LongType()), ("n", T.LongType()), ("set", T.BinaryType())], _profiler("class", "size", "set"))
     # an id may stand on several rows: those of other classes go, and of equal ones one stays
     sets = sets.filter("class = node").select("node", "n", "set")
-    return store(sets.groupBy("node").agg(F.first("n").alias("n"), F.first("set").alias("set")), "sets")
+    return store(sets.groupBy("node").agg(F.first("n").alias("n"), F.first("set").alias("set")), "sets", BATCH)
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -207,7 +209,7 @@ def _prefix_pairs(sets: DataFrame) -> DataFrame:
     place = F.row_number().over(Window.partitionBy("node").orderBy("df", "shingle")) + alone
     length = F.col("n") - F.expr("(4 * n + 4) div 5") + 1
     prefix = ranked.withColumn("place", place).filter(F.col("place") <= length).filter("low <> high")
-    prefix = store(prefix.select("shingle", "node", "comp", "n", "place"), "prefix")
+    prefix = store(prefix.select("shingle", "node", "comp", "n", "place"), "prefix", BATCH)
     pairs = prefix.toDF("shingle", "a", "ca", "na", "pa").join(prefix.toDF("shingle", "b", "cb", "nb", "pb"), "shingle")
     # at their first common shingle, two sets hold as many more in common as the shorter rest has places:
     # 100 x intersection >= 80 x union means 9 x intersection >= 4 x (sum of sizes)
@@ -254,13 +256,13 @@ def _links(classes: DataFrame, rows: DataFrame) -> DataFrame | None:
     pairs = held.join(centers, "key").filter("node <> center")
     pairs = pairs.select(F.least("node", "center").alias("a"), F.greatest("node", "center").alias("b")).distinct()
     sets = _sets(held.select("node").distinct(), classes, rows)
-    edges = store(_confirm(_screen(pairs, classes), sets), "edges")
+    edges = store(_confirm(_screen(pairs, classes), sets), "edges", BATCH)
     labels = None if edges.isEmpty() else components(edges)
     now = held.select("key", "node")
     now = now.withColumn("comp", F.col("node")) if labels is None else now.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     split = now.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("key")
     left = now.join(split, "key", "left_semi").select("node", "comp").distinct()
-    more = store(_confirm(_prefix_pairs(store(sets.join(left, "node"), "left")), sets), "edges")
+    more = store(_confirm(_prefix_pairs(store(sets.join(left, "node"), "left")), sets), "edges", BATCH)
     return labels if more.isEmpty() else components(edges.union(more))
 
 
@@ -269,7 +271,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     fields = [("node", T.LongType()), ("n_shingles", T.LongType()), ("signature", T.BinaryType())]
     rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
     profiles = append(spread(rows), ["text"], fields, _profiler("class", "size", "signature")).drop("text")
-    profiles = cut(profiles)
+    profiles = cut(profiles, "profiles", BATCH)
     some = profiles.filter(F.col("node").isNotNull())
     firsts = (F.min("doc_id").alias("low"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature"))
     classes = cut(some.groupBy("node").agg(*firsts))
