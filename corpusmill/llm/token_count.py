@@ -38,7 +38,7 @@ MARK = "▁"
 NORMAL, UNKNOWN, BYTE = 1, 2, 6
 #: SentencePiece's penalty for a character that no piece covers.
 UNKNOWN_PENALTY = 10.0
-#: The score beyond which SentencePiece takes the best score from all open paths.
+#: The score beyond which SentencePiece takes the best score from all open paths (found by comparing counts).
 RESCALE = 100_000.0
 MEMO = 600_000
 #: Characters of the longest word that is kept.
