@@ -25,19 +25,8 @@ def _unit(vectors: list) -> np.ndarray:
     return m / np.where(norms > 0, norms, 1.0)
 
 
-def cosine_topk(queries: DataFrame, rows: DataFrame, k: int = 5, digits: int = 4) -> DataFrame:
-    """vec_id, nn_id, rank, score: the ``k`` rows most similar to each query, itself left out.
-
-    Exact. Blocks of queries meet blocks of rows (one matrix product); each meeting passes on its best
-    ``k``, so what is shuffled is k x queries x blocks. Rows with a null vector are skipped; a zero
-    vector scores 0; ties go to the lower id.
-    """
-    ship(rows.sparkSession)
-    queries, rows = (d.filter(F.col("embedding").isNotNull()) for d in (queries, rows))
-    left, right = store(_blocks(queries, "q"), "queries"), store(_blocks(rows, "r"), "blocks")
-    wanted = left.select("q").collect()  # block numbers: one for each BLOCK queries
-    meetings = right.withColumn("q", F.explode(F.array(*(F.lit(w[0]) for w in wanted)) if wanted else F.array().cast("array<long>")))
-    met = meetings.join(left, "q").select("q_ids", "q_vectors", "r_ids", "r_vectors")
+def _best(met: DataFrame, k: int, digits: int) -> DataFrame:
+    """The ``k`` best rows of each query over all ``met`` blocks (q_ids, q_vectors, r_ids, r_vectors)."""
 
     def run(batches):
         for batch in batches:
@@ -54,6 +43,23 @@ def cosine_topk(queries: DataFrame, rows: DataFrame, k: int = 5, digits: int = 4
     return best.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
+def cosine_topk(queries: DataFrame, rows: DataFrame, k: int = 5, digits: int = 4) -> DataFrame:
+    """vec_id, nn_id, rank, score: the ``k`` rows most similar to each query, itself left out.
+
+    Exact. Blocks of queries meet blocks of rows (one matrix product); each meeting passes on its best
+    ``k``, so what is shuffled is k x queries x blocks. Rows with a null vector are skipped; a zero
+    vector scores 0; ties go to the lower id.
+    """
+    ship(rows.sparkSession)
+    queries, rows = (d.filter(F.col("embedding").isNotNull()) for d in (queries, rows))
+    left, right = store(_blocks(queries, "q"), "queries"), store(_blocks(rows, "r"), "blocks")
+    wanted = left.select("q").collect()  # block numbers: one for each BLOCK queries
+    meetings = right.withColumn("q", F.explode(F.array(*(F.lit(w[0]) for w in wanted)) if wanted else F.array().cast("array<long>")))
+    met = meetings.join(left, "q").select("q_ids", "q_vectors", "r_ids", "r_vectors")
+
+    return _best(met, k, digits)
+
+
 def cluster_tree(rows: DataFrame, leaf: int = 25, most: int = 200, seed: int = 7, levels: int = 4) -> DataFrame:
     """level, parent, child, embedding: k-means on each level over the centres of the level below.
 
@@ -89,29 +95,65 @@ def _cosine(a, b):
     def dot(x, y):
         return F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
 
-    return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
+    return F.coalesce(F.try_divide(dot(a, b), F.sqrt(dot(a, a) * dot(b, b))), F.lit(0.0))
+
+
+def _leaf_blocks(leaves: DataFrame) -> DataFrame:
+    """parent, part, r_ids, r_vectors: the members of each leaf cluster in blocks of about BLOCK rows."""
+    parts = leaves.groupBy("parent").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("parts"))
+    dealt = leaves.join(F.broadcast(parts), "parent").withColumn("part", F.pmod(F.xxhash64("child"), F.col("parts")))
+    return dealt.groupBy("parent", "part").agg(F.collect_list("child").alias("r_ids"), F.collect_list("embedding").alias("r_vectors"))
+
+
+def _in_leaves(visits: DataFrame, blocks: DataFrame, k: int) -> DataFrame:
+    """The ``k`` best members of the leaf clusters that each query visits. visits: vec_id, q, parent."""
+    parts = blocks.select("parent", "part")
+    asked = visits.join(F.broadcast(parts), "parent").withColumn("slice", F.pmod(F.col("vec_id"), F.lit(1 + visits.count() // BLOCK)))
+    asked = asked.groupBy("parent", "part", "slice").agg(F.collect_list("vec_id").alias("q_ids"), F.collect_list("q").alias("q_vectors"))
+    met = asked.join(blocks, ["parent", "part"]).select("q_ids", "q_vectors", "r_ids", "r_vectors")
+    return _best(met, k, 4)
+
+
+def _leaf_bounds(leaves: DataFrame) -> DataFrame:
+    """parent, centre, low: the mean of each leaf cluster's members and their least cosine with it."""
+    means = leaves.select("parent", F.posexplode("embedding").alias("i", "v")).groupBy("parent", "i").agg(F.avg("v").alias("v")).groupBy("parent")
+    means = means.agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "v"))), lambda s: s["v"]).alias("centre"))
+    lows = leaves.join(F.broadcast(means), "parent").groupBy("parent").agg(F.min(_cosine(F.col("centre"), F.col("embedding"))).alias("low"))
+    return means.join(lows, "parent")
 
 
 def tree_search(tree: DataFrame, queries: DataFrame, width: int = 5, k: int = 5) -> DataFrame:
-    """vec_id, nn_id, rank, score: from the top level down, each query keeps its ``width`` best nodes.
+    """vec_id, nn_id, rank, score: the ``k`` nearest rows, from the top level down by the ``width`` best nodes.
 
-    Approximate: a near row in a cluster off the route is missed. A meeting joins on the parent, so
-    each query sees width x cluster size rows a level.
+    Exact, as ``cosine_topk``. The route gives each query its first ``k`` rows. No member of a leaf cluster has
+    an angle to the query below that of the cluster's centre less the widest of its members; clusters off the
+    route whose bound reaches the k-th score are visited too. ``width`` decides the work, not the result.
     """
     tree = store(tree, "tree")
     top = tree.agg(F.max("level")).first()[0]
     if top is None:
         return queries.sparkSession.createDataFrame([], "vec_id long, nn_id long, score double, rank int")
+    ship(tree.sparkSession)
     roots = tree.filter(F.col("level") == top).select("parent").distinct()
-    held = queries.select("vec_id", F.col("embedding").alias("q"))
+    held = queries.filter(F.col("embedding").isNotNull()).select("vec_id", F.col("embedding").cast("array<double>").alias("q"))
     at = held.withColumn("parent", F.explode(F.lit([r[0] for r in roots.collect()])))  # at most ``most`` roots
-    for level in range(top, -1, -1):
+    for level in range(top, 0, -1):
         down = tree.filter(F.col("level") == level).select("parent", "child", "embedding")
         met = at.join(down, "parent").select("vec_id", "q", F.col("child").alias("parent"), F.round(_cosine(F.col("q"), F.col("embedding")), 4).alias("score"))
-        if level == 0:
-            met = met.filter("parent <> vec_id")
         rank = F.row_number().over(Window.partitionBy("vec_id").orderBy(F.desc("score"), "parent"))
-        at = store(met.withColumn("rank", rank).filter(F.col("rank") <= (k if level == 0 else width)), "route")
-        if level:
-            at = at.drop("score", "rank")
-    return at.select("vec_id", F.col("parent").alias("nn_id"), "score", "rank")
+        at = store(met.withColumn("rank", rank).filter(F.col("rank") <= width).select("vec_id", "q", "parent"), "route")
+    leaves = tree.filter("level = 0").select("parent", "child", "embedding")
+    blocks = store(_leaf_blocks(leaves), "leaves", 16)
+    near = store(_in_leaves(at, blocks, k), "near")
+    # scores are rounded: one that is 1e-4 below may be equal
+    reached = near.groupBy("vec_id").agg(F.when(F.count(F.lit(1)) == k, F.min("score") - 1e-4).otherwise(-2.0).alias("least"))
+    off = held.join(F.broadcast(_leaf_bounds(leaves))).join(at.select("vec_id", "parent"), ["vec_id", "parent"], "left_anti").join(reached, "vec_id", "left")
+
+    def angle(cosine):
+        return F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cosine)))
+
+    bound = F.cos(F.greatest(F.lit(0.0), angle(_cosine(F.col("q"), F.col("centre"))) - angle(F.col("low"))))
+    more = store(off.filter(bound >= F.coalesce("least", F.lit(-2.0))).select("vec_id", "q", "parent"), "visits")
+    both = near.drop("rank").unionByName(_in_leaves(more, blocks, k).drop("rank"))
+    rank = F.row_number().over(Window.partitionBy("vec_id").orderBy(F.desc("score"), "nn_id"))
+    return both.withColumn("rank", rank).filter(F.col("rank") <= k)

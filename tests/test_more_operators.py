@@ -87,6 +87,15 @@ def test_tree_holds_every_row_and_finds_neighbours(spark):
     assert len(found) == 36 and all(r.vec_id % 6 == r.nn_id % 6 for r in found)
 
 
+def test_tree_search_finds_what_lies_off_its_route(spark):
+    rng = random.Random(8)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(8)]) for i in range(300)] + [(300, [0.0] * 8)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    asked = df.filter("vec_id % 20 = 0")
+    found = vectors.tree_search(vectors.cluster_tree(df, leaf=10), asked, width=1)
+    assert sorted(map(tuple, found.select("vec_id", "rank", "nn_id", "score").collect())) == sorted(map(tuple, vectors.cosine_topk(asked, df).select("vec_id", "rank", "nn_id", "score").collect()))
+
+
 def test_web_archive_records(spark, tmp_path):
     def record(kind, url, body, http="HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"):
         block = http + body
