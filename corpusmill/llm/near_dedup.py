@@ -1,6 +1,6 @@
 """Operator 4: near-duplicate documents by a multi-index Hamming join of MinHash signatures.
 
-A document's set holds the hashes of its distinct ``WORDS``-word shingles. Documents with equal sets
+A document's set holds the hashes of its distinct shingles of ``size`` words (``WORDS`` unless told). Documents with equal sets
 form a class, which is compared once. A class's signature has ``POSITIONS`` symbols of 16 bits (the
 low bits of so many MinHash values); two classes' distance is the number of positions that differ.
 
@@ -20,7 +20,7 @@ order, rarest first, two sets of that similarity share one of the first n - ceil
 that drifted apart fill these places with shingles of their own, so almost no pairs are left; those
 of different components are confirmed, which settles every key.
 
-Null text, or text without words: no shingles, linked with nothing, kept. Fewer than WORDS words:
+Null text, or text without words: no shingles, linked with nothing, kept. Fewer than ``size`` words:
 the whole sequence is the one shingle. Rows that repeat an id are nodes of the same name: each is
 judged by its own text. Null ids: never the smallest of a class that has others; a component
 of null ids alone has a null component and its rows are kept.
@@ -51,6 +51,8 @@ _A = _random.randint(1, 2**62, POSITIONS, dtype=np.int64).astype(np.uint64) * np
 _B = _random.randint(0, 2**62, POSITIONS, dtype=np.int64).astype(np.uint64)
 _MIX = _random.randint(1, 2**62, WORDS + 2, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 _KEYS = _random.randint(1, 2**62, (CHUNKS, CHUNK), dtype=np.int64).astype(np.uint64)
+#: One multiplier for each word of a shingle.
+_PLACES = np.concatenate([_MIX[:WORDS], _random.randint(1, 2**62, 12, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)])
 
 
 class _Hashes(dict):
@@ -78,7 +80,7 @@ def shingles(text: str | None, hashes: _Hashes, size: int = WORDS) -> np.ndarray
     width = min(size, len(words))
     total = np.full(len(words) - width + 1, np.uint64(width))
     for i in range(width):
-        total = (total ^ h[i : len(words) - width + 1 + i]) * _MIX[i]
+        total = (total ^ h[i : len(words) - width + 1 + i]) * _PLACES[i]
         total ^= total >> np.uint64(32)
     return np.unique(_scramble(total))
 
@@ -109,8 +111,10 @@ def _class_of(found: np.ndarray) -> int | None:
     return xxhash.xxh64_intdigest(found.tobytes()) - 2**63 if len(found) else None
 
 
-def _profiler(*parts: str):
+def _profiler(*parts: str, size: int):
     """A setup function: classes and, as ``parts`` ask, sizes, signatures and sets of texts."""
+    if not 1 <= size <= len(_PLACES):
+        raise ValueError(f"shingles have 1 to {len(_PLACES)} words")
 
     def setup():
         hashes = _Hashes()
@@ -124,7 +128,7 @@ def _profiler(*parts: str):
         def run(texts):
             out = tuple([] for _ in parts)
             for text in texts:
-                found = shingles(text, hashes)
+                found = shingles(text, hashes, size)
                 for values, part in zip(out, parts, strict=True):
                     values.append(made[part](found))
             return out
@@ -164,11 +168,11 @@ def _screen(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return sides.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
-def _sets(nodes: DataFrame, classes: DataFrame, rows: DataFrame) -> DataFrame:
+def _sets(nodes: DataFrame, classes: DataFrame, rows: DataFrame, size: int) -> DataFrame:
     """node, n, set: the shingle sets of the classes ``nodes``, from one document of each class."""
     wanted = cut(nodes.join(classes.select("node", "low"), "node").select(F.col("low").alias("of"), "node"))
     picked = rows.join(broadcast_if_small(wanted), F.col("doc_id").eqNullSafe(F.col("of"))).select("node", "text")
-    sets = append(picked, ["text"], [("class", T.LongType()), ("n", T.LongType()), ("set", T.BinaryType())], _profiler("class", "size", "set"))
+    sets = append(picked, ["text"], [("class", T.LongType()), ("n", T.LongType()), ("set", T.BinaryType())], _profiler("class", "size", "set", size=size))
     # an id may stand on several rows: those of other classes go, and of equal ones one stays
     sets = sets.filter("class = node").select("node", "n", "set")
     return store(sets.groupBy("node").agg(F.first("n").alias("n"), F.first("set").alias("set")), "sets", BATCH)
@@ -244,7 +248,7 @@ def components_again(edges: DataFrame, labels: DataFrame, rounds: int) -> DataFr
     return joined.select("node", F.coalesce("up", "comp").alias("comp"))
 
 
-def _links(classes: DataFrame, rows: DataFrame) -> DataFrame | None:
+def _links(classes: DataFrame, rows: DataFrame, size: int) -> DataFrame | None:
     """(node, comp) of classes linked with another; None if there are none."""
     expanded = _expand(classes)
     shared = expanded.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
@@ -255,7 +259,7 @@ def _links(classes: DataFrame, rows: DataFrame) -> DataFrame | None:
     centers = weighed.groupBy("key").agg(F.max(F.struct("weight", "node")).getField("node").alias("center"))
     pairs = held.join(centers, "key").filter("node <> center")
     pairs = pairs.select(F.least("node", "center").alias("a"), F.greatest("node", "center").alias("b")).distinct()
-    sets = _sets(held.select("node").distinct(), classes, rows)
+    sets = _sets(held.select("node").distinct(), classes, rows, size)
     edges = store(_confirm(_screen(pairs, classes), sets), "edges", BATCH)
     labels = None if edges.isEmpty() else components(edges)
     now = held.select("key", "node")
@@ -266,16 +270,16 @@ def _links(classes: DataFrame, rows: DataFrame) -> DataFrame | None:
     return labels if more.isEmpty() else components(edges.union(more))
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = WORDS) -> DataFrame:
     """key, n_shingles, component_id (smallest id reachable), kept, class_id."""
     fields = [("node", T.LongType()), ("n_shingles", T.LongType()), ("signature", T.BinaryType())]
     rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
-    profiles = append(spread(rows), ["text"], fields, _profiler("class", "size", "signature")).drop("text")
+    profiles = append(spread(rows), ["text"], fields, _profiler("class", "size", "signature", size=size)).drop("text")
     profiles = cut(profiles, "profiles", BATCH)
     some = profiles.filter(F.col("node").isNotNull())
     firsts = (F.min("doc_id").alias("low"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature"))
     classes = cut(some.groupBy("node").agg(*firsts))
-    labels = _links(classes, rows)
+    labels = _links(classes, rows, size)
     if labels is None:
         reach = classes.select("node", F.col("low").alias("component_id"))
     else:
@@ -290,18 +294,18 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     return out.withColumnRenamed("doc_id", key)
 
 
-def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = WORDS) -> DataFrame:
     """One document of each component, with all its columns; documents without words all stay.
 
     Of rows that repeat the kept id with the same set, one stays.
     """
-    judged = cut(near_duplicates(docs, key, text).select(F.col(key).alias("id"), "class_id", "kept"))
+    judged = cut(near_duplicates(docs, key, text, size).select(F.col(key).alias("id"), "class_id", "kept"))
     gone = judged.filter(~F.col("kept")).select("id", "class_id").distinct()
     repeated = judged.groupBy("id").count().filter("count > 1")
     if repeated.isEmpty():
         return docs.join(broadcast_if_small(gone.select("id")), docs[key].eqNullSafe(F.col("id")), "left_anti")
     node = fresh(docs, "class_id")
-    rows = append(docs, [text], [(node, T.LongType())], _profiler("class"))
+    rows = append(docs, [text], [(node, T.LongType())], _profiler("class", size=size))
     left = rows.join(broadcast_if_small(gone.toDF("id", "cls")), rows[key].eqNullSafe(F.col("id")) & (rows[node] == F.col("cls")), "left_anti")
     empty, full = left.filter(F.col(node).isNull()), left.filter(F.col(node).isNotNull())
     return full.dropDuplicates([key, node]).unionByName(empty).drop(node)

@@ -65,6 +65,18 @@ def test_near_duplicates_equal_brute_force(spark):
     assert near_dedup.near_duplicates(_empty(spark)).count() == 0
 
 
+def test_pipeline_compares_shingles_of_five_words(spark):
+    import corpus_pipeline
+
+    # two words replaced far apart: of 76 and 75 shingles 8 and 10 differ on each side
+    words = [f"w{i}" for i in range(79)]
+    other = [*words[:20], "x", *words[21:50], "y", *words[51:]]
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(other)), (3, " ".join(words))], "doc_id long, text string")
+    assert 100 * 68 >= 80 * (2 * 76 - 68) and 100 * 65 < 80 * (2 * 75 - 65)
+    assert sorted(r.doc_id for r in near_dedup.keep_one(docs).collect()) == [1]
+    assert sorted(r.doc_id for r in corpus_pipeline.near_dedup_stage(spark, docs, "").collect()) == [1, 2]
+
+
 def test_signature_keys_meet_the_guarantee():
     import numpy as np
 
