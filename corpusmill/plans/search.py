@@ -61,7 +61,7 @@ def stream_event_windows(spark, sf_dir):
 SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM (
 SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM events)) GROUP BY user_id, s""")
 def stream_sessions(spark, sf_dir):
-    made = incremental.sessions(incremental.stream_table(spark, sf_dir, "events"))
+    made = incremental.sessions(incremental.stream_table(spark, sf_dir, "events"), late=None)
     return incremental.run_available(made, "sessions", "complete")
 
 

@@ -129,3 +129,17 @@ def test_streamed_cutoffs_equal_a_rolling_frame(spark, tmp_path):
         for k, r in enumerate(own[1:], 1):
             frame = np.array([s for _, _, s in own[max(0, k - 4) : k + 1]])
             assert abs(got[r[0]] - (frame.mean() - 2 * frame.std(ddof=1))) < 2e-6
+
+
+def test_streamed_sessions_keep_files_out_of_time_order(spark, tmp_path, monkeypatch):
+    from functools import partial
+
+    from corpusmill.plans import search
+
+    for day in (9, 1, 5, 3):  # four micro-batches; the last two events of a day are one session
+        rows = [(u, f"2024-01-0{day} {at}:00") for u in (1, 2) for at in ("01:00", "05:00", "05:10")]
+        made = spark.createDataFrame(rows, "user_id long, ts string").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+        made.coalesce(1).write.mode("append").parquet(str(tmp_path / "events.parquet"))
+    monkeypatch.setattr(incremental, "stream_table", partial(incremental.stream_table, files_a_batch=1))
+    got = sorted((r.user_id, r.session_start.day, r.n) for r in search.stream_sessions(spark, str(tmp_path)).collect())
+    assert got == sorted((u, d, n) for u in (1, 2) for d in (1, 3, 5, 9) for n in (1, 2))
