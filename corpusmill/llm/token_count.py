@@ -14,7 +14,7 @@ marks costs a thousand million, where a step is 64).
 
 No piece holds a space mark behind another character and none holds a character outside the
 vocabulary's alphabet, so a text falls into words: all paths meet between two, and only the score
-there passes on. A task keeps the words it has seen behind each score (about ``MEMO``, then it starts anew).
+there passes on. A worker keeps the words it has seen behind each score, in two generations of about ``MEMO``.
 
 Null text: 0 tokens. Empty text: 0 tokens. Other columns are dropped; repeated rows stay.
 """
@@ -25,7 +25,6 @@ import re
 import struct
 import uuid
 from collections.abc import Iterator
-from operator import itemgetter
 
 import ahocorasick
 from pyspark.sql import DataFrame
@@ -40,7 +39,7 @@ NORMAL, UNKNOWN, BYTE = 1, 2, 6
 UNKNOWN_PENALTY = 10.0
 #: The score beyond which SentencePiece takes the best score from all open paths (found by comparing counts).
 RESCALE = 100_000.0
-MEMO = 600_000
+MEMO = 500_000
 #: Characters of the longest word that is kept.
 LONGEST = 64
 #: Whole numbers below are exact in single precision.
@@ -103,6 +102,7 @@ State = int
 Ends = tuple[tuple[int, float, int, bool], ...]
 #: (last position, (length, score)) of a piece found in a chunk.
 Match = tuple[int, tuple[int, float]]
+Kept = tuple[dict[State, int], int, tuple[int, State], dict[int, tuple[int, State]] | None]
 
 
 class Counter:
@@ -122,15 +122,22 @@ class Counter:
         self.chunks = CHUNKS if "\n" not in alphabet else WORDS
         self.whole = all(score.is_integer() for score in pieces.values())
         self.mark = self._far_mark(pieces) if self.whole and "\n" not in alphabet else None
+        self.inner = self._inner(pieces) if self.mark is not None else None
+        #: beginning of a word -> (length, score) of the pieces that begin it
+        self.firsts: dict[str, tuple[tuple[int, float], ...]] = {}
         self.forget()
 
     def forget(self) -> None:
         """Drops the words seen. What repeats (states, open ends, results) is held once, by number."""
         #: chunk -> (state -> open ends behind its first character, first open ends met, what ``word`` gave, the same for others)
-        self.words: dict[str, tuple[dict[State, int], int, tuple[int, State], dict[int, tuple[int, State]] | None]] = {}
+        self.words: dict[str, Kept] = {}
+        #: the words of the generation before, which come back when they are met again
+        self.old: dict[str, Kept] = {}
         #: the first part of ``words``, shared by chunks that start with the same pieces
         self.starts: dict[tuple, dict[State, int]] = {}
         self.open: dict[Ends, int] = {}
+        #: by number: the open ends, and whether they are those of ``beyond_mark``
+        self.ends: list[tuple[Ends, bool]] = []
         self.results: dict[tuple[int, State], tuple[int, State]] = {}
         #: whole score behind a word -> its state
         self.ahead: dict[float, State] = {}
@@ -138,6 +145,13 @@ class Counter:
         self.states = [(0.0, False)]
         self.seen = 0
 
+    def turn(self) -> None:
+        """Starts a new generation of words; those of the last but one go."""
+        if len(self.states) + len(self.open) + len(self.starts) + len(self.results) + len(self.firsts) > MEMO:
+            self.forget()
+            self.firsts = {}
+        self.old, self.words, self.seen = self.words, {}, 0
+
     @staticmethod
     def _far_mark(pieces: dict[str, float]) -> float | None:
         """The mark's score if it is so low that only a fraction of a state's score matters behind it."""
@@ -145,6 +159,38 @@ class Counter:
         near = all(score == mark or abs(score) < WHOLE / 2 for p, score in pieces.items() if p.startswith(MARK))
         return mark if near and mark < -WHOLE else None
 
+    @staticmethod
+    def _inner(pieces: dict[str, float]) -> ahocorasick.Automaton:
+        """The pieces that a best path inside a word can hold, where sums are exact.
+
+        A piece whose own characters other pieces cover with a higher sum is on no best path. At equal
+        sums the longer piece stays, as the tie rule has it.
+        """
+        automaton = ahocorasick.Automaton()
+        for piece, score in pieces.items():
+            if MARK in piece:
+                continue
+            size = len(piece)
+            best = [0.0] + [-float("inf")] * size
+            for end in range(1, size + 1):
+                for start in range(end):
+                    worth = pieces.get(piece[start:end])
+                    if worth is not None and end - start < size:
+                        best[end] = max(best[end], best[start] + worth)
+            if not best[size] > score:
+                automaton.add_word(piece, (size, score))
+        automaton.make_automaton()
+        return automaton
+
+    def _begins(self, text: str) -> tuple[tuple[int, float], ...]:
+        """(length, score) of the pieces that begin ``text``, shortest first."""
+        head = text[: self.automaton.longest_prefix(text)]
+        found = self.firsts.get(head)
+        if found is None:
+            pairs = (self.automaton.get(head[:size], None) for size in range(1, len(head) + 1))
+            found = self.firsts[head] = tuple(pair for pair in pairs if pair is not None)
+        return found
+
     def state(self, score: float, unknown: bool) -> State:
         """The state that goes on as this one does.
 
@@ -210,56 +256,83 @@ class Counter:
                     far = max(far, end)
         return count[size], self.state(best[size], runs[size])
 
-    def finish_behind_mark(self, chunk: str, matches: list[Match], ends: Ends) -> tuple[int, State]:
+    def finish_behind_mark(self, text: str, ends: Ends) -> tuple[int, State]:
         """As ``finish``, where the path over the bare far mark loses to all others and sums are exact.
 
-        All ends but the first lie some thousand million above it. From the nearest of them on, a position's
+        ``ends`` are the others, relative to the nearest of them (``beyond_mark``). From there on, a position's
         best score needs no rounding; taking scores away from all open paths only moves the origin.
         """
-        size = len(chunk)
+        size = len(text)
         best: list[float | None] = [None] * (size + 1)
         count = [0] * (size + 1)
-        near, base, _, _ = min(ends[1:])
-        for end, total, n, _ in ends[1:]:
-            best[end], count[end] = total - base, n
-        origin, at = 0.0, near
-        for last, (length, worth) in matches:
+        near = at = ends[0][0]
+        for end, total, n, _ in ends:
+            best[end], count[end] = total, n
+        origin = 0.0
+        for last, (length, worth) in self.inner.iter(text, near):
             start = last + 1 - length
-            if start >= near:
-                if last > at:
-                    at = last
-                    if not -RESCALE <= best[at] - origin <= RESCALE:
-                        origin = best[at]
-                total = best[start] + worth
-                known = best[last + 1]
-                if known is None or total > known:
-                    best[last + 1] = total
-                    count[last + 1] = count[start] + 1
-        score = best[size] - origin if size > near else base
+            if last > at:
+                at = last
+                if not -RESCALE <= best[at] - origin <= RESCALE:
+                    origin = best[at]
+            total = best[start] + worth
+            known = best[last + 1]
+            if known is None or total > known:
+                best[last + 1] = total
+                count[last + 1] = count[start] + 1
+        score = best[size] - origin
         state = self.ahead.get(score)
         if state is None:
             state = self.ahead[score] = self.state(score, False)
         return count[size], state
 
+    def beyond_mark(self, text: str, ends: Ends) -> Ends | None:
+        """The ends but the bare far mark's, by place and relative to the first, if that mark's path loses to them.
+
+        Only their differences matter behind it, so words are kept for few of them. None: ``finish`` must do it.
+        """
+        if len(ends) < 2:
+            return None
+        others = sorted(ends[1:])
+        near, base, _, _ = others[0]
+        if near == len(text) or min(total for _, total, _, _ in others) <= WHOLE:
+            return None
+        return tuple((end, total - base, n, u) for end, total, n, u in others)
+
     def word(self, chunk: str, state: State) -> tuple[int, State]:
         """Pieces on the best path through ``chunk`` and the state behind it; kept for the next time."""
+        kept = self.words.get(chunk)
+        if kept is None:
+            kept = self.old.get(chunk)
+            if kept is not None:
+                self.words[chunk] = kept
+                self.seen += 1
+        if kept is not None:
+            number = kept[0].get(state)
+            if number is not None:
+                if number == kept[1]:
+                    return kept[2]
+                if kept[3] and number in kept[3]:
+                    return kept[3][number]
         text = chunk.replace(" ", MARK)
         size = len(text)
-        matches = list(self.automaton.iter(text))
-        first = [(length, worth) for last, (length, worth) in matches if last + 1 == length]
-        kept = self.words.get(chunk)
-        behind = kept[0] if kept else self.starts.setdefault((text[0], tuple(first), size > 1), {})
-        ends = self.begin(text[0], first, state, size > 1)
-        number = behind[state] = self.open.setdefault(ends, len(self.open))
+        first = self._begins(text)
+        far = self.mark is not None and 2 < size <= LONGEST and text[0] == MARK != text[1] and self.single.issuperset(text)
+        whole = far and first[-1][0] == size
+        behind = kept[0] if kept is not None else self.starts.setdefault((text[0], first, size > 1, far, whole), {})
+        number = behind.get(state)
+        if number is None:
+            ends = self.begin(text[0], first, state, size > 1)
+            others = self.beyond_mark(text, ends) if far else None
+            number = behind[state] = self.open.setdefault(others or ends, len(self.open))
+            if number == len(self.ends):
+                self.ends.append((others or ends, others is not None))
         self.seen += 1
         more = kept and (kept[3] or {kept[1]: kept[2]})
         if more and number in more:
             return more[number]
-        far = self.mark is not None and 2 < size <= LONGEST and len(ends) > 1 and text[0] == MARK != text[1]
-        if far and min(ends[1:], key=itemgetter(1))[1] > WHOLE and self.single.issuperset(text):
-            result = self.finish_behind_mark(text, matches, ends)
-        else:
-            result = self.finish(text, matches, ends)
+        ends, beyond = self.ends[number]
+        result = self.finish_behind_mark(text, ends) if beyond else self.finish(text, list(self.automaton.iter(text)), ends)
         result = self.results.setdefault(result, result)
         if more:
             self.words[chunk] = kept[0], kept[1], kept[2], more | {number: result}
@@ -271,7 +344,7 @@ class Counter:
         if not text:
             return 0
         if self.seen >= MEMO:
-            self.forget()
+            self.turn()
         total, state, words = 0, 0, self.words
         for chunk in self.chunks.findall(f" {text.replace(MARK, ' ')}"):
             kept = words.get(chunk)
