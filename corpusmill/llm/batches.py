@@ -60,3 +60,23 @@ def bounded_sample(rows: DataFrame, label: str, key: str, per_label: int) -> Dat
     low = rows.join(F.broadcast(counts.select(label, part)), [label, part], "left_semi")
     ranked = low.withColumn(rank, F.row_number().over(Window.partitionBy(label).orderBy(order, key)))
     return ranked.filter(F.col(rank) <= per_label).drop(order, part, rank)
+
+
+def labelled_texts(
+    docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, per_label: int, chars: int, kinds: Sequence[int] = (0, 1)
+) -> list[tuple]:
+    """(key, text, label) of a bounded sample, in an order that does not follow the ids: at most ``per_label`` rows a label.
+
+    Texts are whole. Rows go by the lowest hash of their id, as long as a label's texts hold ``chars``
+    characters together; a text that does not fit is passed over. An id on several rows counts once,
+    with its first text by value, so the sample is the same in every run. Null ids, texts and labels are not taken.
+    """
+    known = labels.select(F.col(key).alias("key"), F.col(label).cast("int").alias("label")).filter(F.col("label").isin(*kinds) & F.col("key").isNotNull())
+    ids = bounded_sample(known.distinct(), "label", "key", per_label)
+    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).filter(F.col("text").isNotNull())
+    # the ids are at most per_label x labels
+    rows = rows.join(F.broadcast(ids), "key").groupBy("key", "label").agg(F.min("text").alias("text"))
+    rows = rows.withColumns({"size": F.length("text"), "order": F.xxhash64(F.col("key").cast("string"))}).filter(F.col("size") <= chars)
+    so_far = Window.partitionBy("label").orderBy("order", "key").rowsBetween(Window.unboundedPreceding, 0)
+    fits = rows.withColumn("total", F.sum("size").over(so_far)).filter(F.col("total") <= chars)
+    return [tuple(r) for r in fits.orderBy("order", "key", "label").select("key", "text", "label").collect()]

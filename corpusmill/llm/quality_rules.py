@@ -10,23 +10,26 @@ ends a sentence or repeats an earlier line. Viterbi decoding gives the most like
 kept if content lines hold at least ``SHARE`` of its words.
 
 The field is trained here by gradient ascent on the chains' likelihood, on a bounded sample:
-``docs_per_label`` texts of each quality label, lines labelled as their text is. (No line labels
-exist; text labels are noisy for lines, and the likelihood averages over that.) Without both labels
-every line counts as content.
-
-Null text: no words, fails the base rules. Lines longer than memory allows do not occur: a line is
-at most its text. Other columns are dropped; repeated rows stay.
+``docs_per_label`` whole texts of each quality label. Labels of texts are turned into labels of lines: a
+good text's lines are content; of a bad text at least half of the words lie in boilerplate lines, and which
+lines these are is found in turns with the weights, from the lines that look least like good texts'.
+Chains in which both kinds meet are added by setting runs of boilerplate lines into good texts, so
+the moves are learned from changes too. Without both labels every line counts as content.
+
+Null or empty text: no words, fails the base rules. A text without line ends is one line, however
+long; repeated lines are lines of their own. Ties between labels go to content. An empty table gives
+an empty result. Other columns are dropped (``keep_content`` keeps all); repeated rows stay.
 """
 
 from __future__ import annotations
 
+import random
+
 import numpy as np
-import xxhash
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusmill.llm.batches import append, bounded_sample, fresh
+from corpusmill.llm.batches import append, fresh, labelled_texts
 from corpusmill.session import spread
 
 SYMBOLS = b"#*$%&|<>"
@@ -107,6 +110,10 @@ def lines_of(raw: bytes) -> tuple[list[tuple[float, ...]], list[int], int]:
     return features, sizes, repeats
 
 
+#: Features of a chain's lines, and their labels.
+Chain = tuple[np.ndarray, np.ndarray]
+
+
 class Field:
     """A chain of two labels: 1 is content. ``weights`` scores content, ``moves`` pairs of labels."""
 
@@ -129,18 +136,25 @@ class Field:
         return labels[::-1]
 
 
-def train(chains: list[tuple[np.ndarray, int]], rounds: int = 120, rate: float = 0.5, ridge: float = 1e-3) -> Field:
-    """Gradient ascent on the mean log likelihood of chains (lines x features, label of all lines)."""
-    if len({y for _, y in chains}) < 2:
+def _pieces(chains: list[Chain], most: int = 64) -> list[Chain]:
+    """Long chains in pieces, so that one of them does not fill the arrays; no line is left out."""
+    return [(x[at : at + most], y[at : at + most]) for x, y in chains for at in range(0, len(x), most)]
+
+
+def train(chains: list[Chain], rounds: int = 120, rate: float = 0.5, ridge: float = 1e-3) -> Field:
+    """Gradient ascent on the mean log likelihood of chains (lines x features, label of each line)."""
+    chains = _pieces(chains)
+    if len({int(v) for _, y in chains for v in y}) < 2:
         return Field([20.0] + [0.0] * (FEATURES - 1), [[0.0, 0.0], [0.0, 0.0]])
     longest, n = max(len(x) for x, _ in chains), len(chains)
-    x, mask = np.zeros((n, longest, FEATURES)), np.zeros((n, longest), bool)
-    for i, (rows, _) in enumerate(chains):
-        x[i, : len(rows)], mask[i, : len(rows)] = rows, True
-    y = np.array([label for _, label in chains])
-    each = 1.0 / np.maximum(1, mask.sum(axis=1))  # texts weigh alike, however many lines they have
-    # both labels weigh alike too
-    each *= np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum()))
+    x, y, mask = np.zeros((n, longest, FEATURES)), np.zeros((n, longest), int), np.zeros((n, longest), bool)
+    for i, (rows, labels) in enumerate(chains):
+        x[i, : len(rows)], y[i, : len(rows)], mask[i, : len(rows)] = rows, labels, True
+    each = 1.0 / (n * mask.sum(axis=1))  # chains weigh alike, however many lines they have
+    inner = mask[:, 1:]
+    ends, every = mask.sum(axis=1) - 1, np.arange(n)
+    pairs = 2 * y[:, :-1] + y[:, 1:]
+    seen = np.array([((pairs == k) & inner).sum(axis=1) @ each for k in range(4)]).reshape(2, 2)
     w, moves, start = np.zeros(FEATURES), np.zeros((2, 2)), 0.0
     speed = [np.zeros(FEATURES), np.zeros((2, 2)), 0.0]
     for _ in range(rounds):
@@ -148,42 +162,65 @@ def train(chains: list[tuple[np.ndarray, int]], rounds: int = 120, rate: float =
         ahead, behind = np.zeros((n, longest, 2)), np.zeros((n, longest, 2))
         ahead[:, 0] = emit[:, 0] + np.array([0.0, start])
         for t in range(1, longest):
-            ahead[:, t] = np.logaddexp.reduce(ahead[:, t - 1, :, None] + moves, axis=1) + emit[:, t]
-        ends = mask.sum(axis=1) - 1
-        total = np.logaddexp.reduce(ahead[np.arange(n), ends], axis=1)
+            ahead[:, t] = np.logaddexp(ahead[:, t - 1, 0, None] + moves[0], ahead[:, t - 1, 1, None] + moves[1]) + emit[:, t]
+        total = np.logaddexp.reduce(ahead[every, ends], axis=1)
         for t in range(longest - 2, -1, -1):
-            step = np.logaddexp.reduce(moves + (emit[:, t + 1] + behind[:, t + 1])[:, None, :], axis=2)
+            after = emit[:, t + 1] + behind[:, t + 1]
+            step = np.logaddexp(after[:, 0, None] + moves[:, 0], after[:, 1, None] + moves[:, 1])
             behind[:, t] = np.where((t < ends)[:, None], step, 0.0)
         marginal = np.exp(ahead + behind - total[:, None, None]) * mask[:, :, None]
-        g_w = np.einsum("nt,ntf,n->f", (y[:, None] - marginal[:, :, 1]) * mask, x, each)
-        inner = mask[:, 1:]
+        g_w = np.einsum("nt,ntf,n->f", (y - marginal[:, :, 1]) * mask, x, each)
         pair = ahead[:, :-1, :, None] + moves + (emit[:, 1:] + behind[:, 1:])[:, :, None, :] - total[:, None, None, None]
         expected = np.einsum("ntab,nt,n->ab", np.exp(np.where(inner[:, :, None, None], pair, -700.0)), inner, each)
-        seen = np.zeros((2, 2))
-        for label in (0, 1):
-            seen[label, label] = (inner.sum(axis=1) * each)[y == label].sum()
-        g_start = ((y - marginal[:, 0, 1]) * each).sum()
+        g_start = ((y[:, 0] - marginal[:, 0, 1]) * each).sum()
         for i, g in enumerate((g_w - ridge * w, seen - expected - ridge * moves, g_start)):
             speed[i] = 0.8 * speed[i] + g
         w, moves, start = w + 4 * rate * speed[0], moves + rate * speed[1], start + rate * speed[2]
     return Field(w, np.clip(moves, -3.0, 3.0), start)
 
 
+def line_labels(scores: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Labels of a bad text's lines: 0 where the score is below 0, and for the lowest scores until half of the words are such."""
+    labels = (scores >= 0).astype(int)
+    for i in np.argsort(scores, kind="stable"):
+        if 2 * sizes[labels == 0].sum() >= sizes.sum():
+            break
+        labels[i] = 0
+    return labels
+
+
+def fit(texts: list[tuple[np.ndarray, np.ndarray, int]], turns: int = 3, seed: int = 3) -> Field:
+    """A field from texts (lines x features, words of each line, the text's label)."""
+    good = [(x, np.ones(len(x), int)) for x, _, label in texts if label == 1]
+    bad = [(x, sizes) for x, sizes, label in texts if label == 0]
+    marked = [(x, np.zeros(len(x), int)) for x, _ in bad]
+    if not good or not bad:
+        return train([*good, *marked])
+    rng = random.Random(seed)
+    for turn in range(turns + 1):
+        mixed = []
+        for x, y in marked if turn else ():
+            runs = np.split(np.arange(len(y)), np.flatnonzero(np.diff(y)) + 1)
+            run = rng.choice([r for r in runs if y[r[0]] == 0])[:12]
+            host, at = good[rng.randrange(len(good))][0], rng.random()
+            cut = round(at * len(host))
+            mixed.append((np.concatenate([host[:cut], x[run], host[cut:]]), np.r_[np.ones(cut, int), np.zeros(len(run), int), np.ones(len(host) - cut, int)]))
+        field = train([*good, *marked, *mixed], 120 if turn == turns else 40)
+        marked = [(x, line_labels(x @ field.weights, sizes)) for x, sizes in bad]
+    return field
+
+
 def learn(
-    docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", docs_per_label: int = 250, chars: int = 8192, lines: int = 40
+    docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", docs_per_label: int = 250, chars: int = 4_000_000
 ) -> Field:
-    """Trains on at most 2 x ``docs_per_label`` texts, ``chars`` characters and ``lines`` lines of each."""
-    known = labels.select(key, F.col(label).cast("int").alias("label")).filter(F.col("label").isin(0, 1) & F.col(key).isNotNull()).distinct()
-    ids = bounded_sample(known, "label", key, docs_per_label)
-    part = docs.filter(F.col(text).isNotNull()).select(key, F.substring(text, 1, chars).alias("text"))
-    rows = part.join(F.broadcast(ids), key).select(key, "text", "label").limit(4 * docs_per_label).collect()
-    rows.sort(key=lambda r: (xxhash.xxh64_intdigest(str(r[0])), r[1]))
-    chains = []
-    for _, value, y in rows:
+    """Trains on at most 2 x ``docs_per_label`` whole texts, of ``chars`` characters together for each label."""
+    texts = []
+    for _, value, y in labelled_texts(docs, labels, key, text, label, docs_per_label, chars):
         raw = value.encode("utf-8", "surrogatepass")
-        if len(raw.split()) >= LEAST_WORDS and (found := lines_of(raw)[0]):
-            chains.append((np.array(found[:lines]), y))
-    return train(chains)
+        if len(raw.split()) >= LEAST_WORDS:
+            found, sizes, _ = lines_of(raw)
+            texts.append((np.array(found), np.array(sizes), y))
+    return fit(texts)
 
 
 def judge(text: str | None, ids: WordIds, field: Field, share: float = SHARE) -> tuple:
