@@ -7,23 +7,24 @@ the cross entropy (Ziv and Merhav); the language with the lowest wins, ties go t
 name. Words (runs of letters, lower case, with a border mark on both sides) are parsed apart, so a
 phrase never spans two words and a task can keep the phrase counts of words it has seen.
 
-The sample is bounded: ``docs_per_lang`` documents with the lowest hash of their id, and of them as
-many distinct words as fit ``chars_per_lang`` characters. All samples end at the length of the
+The sample is bounded: ``docs_per_lang`` documents with the lowest hash of their id, and of all words
+of these whole texts the most frequent, as many as fit ``chars_per_lang`` characters. Samples end at the length of the
 shortest, if that has ``least_chars``; log2(N) evens out the rest.
 
-Null text or text without a letter: ``und`` with score 0. No labelled row: every text is ``und``.
-Rows with a null label are not learned from. A text without a word that fits any language better
-ties, and the first language by name is given. Other columns are dropped; repeated rows stay.
+Letters are the characters of Unicode's category L. Null text or text without a letter: ``und`` with
+score 0. No labelled row: every text is ``und``. Rows with a null label are not learned from. A text
+without a word that fits any language better ties, and the first language by name is given. Words
+may have any length (scripts that don't space words, texts of one word). An empty table gives an
+empty result. Other columns are dropped; repeated rows stay.
 """
 
 from __future__ import annotations
 
 import math
-import re
 from functools import lru_cache
 
-import numpy as np
-from pyspark.sql import Column, DataFrame
+import regex
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -31,10 +32,10 @@ from corpusmill.llm.batches import append, bounded_sample
 from corpusmill.session import spread
 
 UNDETERMINED = "und"
-LETTERS = re.compile(r"[^\W\d_]+")
+LETTERS = regex.compile(r"\p{L}+")
 MEMO = 300_000
-#: Longer runs of letters are parsed in pieces of this length (no language has such words).
-LONGEST_WORD = 200
+#: Characters of the longest word whose phrases are kept.
+LONGEST_KEPT = 64
 
 
 class SuffixAutomaton:
@@ -92,22 +93,7 @@ class SuffixAutomaton:
 
 
 def words(text: str) -> list[str]:
-    found = LETTERS.findall(text.lower())
-    if any(len(w) > LONGEST_WORD for w in found):
-        found = [w[i : i + LONGEST_WORD] for w in found for i in range(0, len(w), LONGEST_WORD)]
-    return found
-
-
-def sample_words(samples: dict[str, list[str]], chars: int, least: int) -> dict[str, list[str]]:
-    """Distinct words of each language's texts, in order, to about the same number of characters."""
-    distinct = {lang: list(dict.fromkeys(w for t in texts for w in words(t))) for lang, texts in samples.items()}
-    sizes = [s for ws in distinct.values() if (s := sum(map(len, ws))) >= least]
-    most, kept = min([chars, *sizes]), {}
-    for lang, ws in distinct.items():
-        ends = np.cumsum([len(w) + 2 for w in ws])
-        if taken := ws[: max(1, int(np.searchsorted(ends, most)))]:
-            kept[lang] = taken
-    return kept
+    return LETTERS.findall(text.lower())
 
 
 class Identifier:
@@ -127,9 +113,10 @@ class Identifier:
         if cost is None:
             marked = f" {word} "
             cost = tuple(a.phrases(marked) * b for a, b in zip(self.automata, self.bits, strict=True))
-            if len(self.memo) >= MEMO:
-                self.memo.clear()
-            self.memo[word] = cost
+            if len(word) <= LONGEST_KEPT:
+                if len(self.memo) >= MEMO:
+                    self.memo.clear()
+                self.memo[word] = cost
         return cost
 
     def text(self, text: str | None) -> tuple[str, float]:
@@ -151,16 +138,23 @@ def learn(
     labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang",
     docs_per_lang: int = 300, chars_per_lang: int = 60_000, least_chars: int = 5_000, max_langs: int = 500,
 ) -> dict[str, list[str]]:
-    """Sample words for each language; at most max_langs x docs_per_lang texts reach the driver."""
-    rows = labelled.select(key, text, lang).filter(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}"))
-    ids = bounded_sample(rows.select(key, lang).distinct(), lang, key, docs_per_lang).select(key, lang)
-    picked = rows.join(F.broadcast(ids), [key, lang]).select(lang, key, F.substring(text, 1, 4 * chars_per_lang).alias(text))
-    samples: dict[str, list[tuple]] = {}
-    for row in picked.limit(max_langs * docs_per_lang).toLocalIterator():
-        samples.setdefault(row[0], []).append((str(row[1]), row[2]))
-    if len(samples) > max_langs:
+    """Sample words for each language, most frequent first; at most ``max_langs`` x ``chars_per_lang`` characters reach the driver."""
+    rows = labelled.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(lang).alias("lang")).filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    ids = bounded_sample(rows.select("key", "lang").distinct(), "lang", "key", docs_per_lang).select("key", "lang")
+    # the ids are at most docs_per_lang x languages
+    picked = rows.join(F.broadcast(ids), ["key", "lang"]).select("lang", F.lower("text").alias("text"))
+    found = picked.select("lang", F.explode(F.regexp_extract_all("text", F.lit(r"\p{L}+"), F.lit(0))).alias("word"))
+    counts = found.groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
+    so_far = Window.partitionBy("lang").orderBy(F.desc("n"), "word").rowsBetween(Window.unboundedPreceding, 0)
+    sized = counts.withColumn("ends", F.sum(F.length("word") + 2).over(so_far)).filter(F.col("ends") <= chars_per_lang)
+    sizes = {r[0]: r[1] for r in sized.groupBy("lang").agg(F.max("ends")).limit(max_langs + 1).collect()}
+    if len(sizes) > max_langs:
         raise ValueError(f"more than {max_langs} languages")
-    return sample_words({k: [t for _, t in sorted(v)] for k, v in samples.items()}, chars_per_lang, least_chars)
+    most = min([chars_per_lang, *(size for size in sizes.values() if size >= least_chars)])
+    sample: dict[str, list[str]] = {}
+    for row in sized.filter(F.col("ends") <= most).orderBy("lang", "ends").select("lang", "word").collect():
+        sample.setdefault(row[0], []).append(row[1])
+    return sample
 
 
 def language_id(docs: DataFrame, sample: dict[str, list[str]], key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -8,12 +8,13 @@ turns it into a score. Short texts give little evidence, so the curve's slope an
 for them: it also sees exp(-bytes / 200) and its product with d.
 
 The labelled sample is bounded: ``docs_per_label`` rows of each label with the lowest hash of their
-id; every third of them is for the curve. Each gives the dictionaries ``blocks_per_doc`` blocks at
-most, evenly spaced. Scores cover whole texts.
+id, of ``chars`` characters together; every third of them is for the curve. Texts are whole, in the
+sample and when they are scored, however long.
 
 Null text counts as empty: d = 0. A label without rows or too little text for a dictionary: the
 dictionary is plain text, or empty; with one label only, the score is that label's share. Rows
-with null label or text are not learned from. Other columns are dropped; repeated rows stay.
+with null label or text are not learned from. Equal texts have equal scores. An empty table gives an
+empty result. Other columns are dropped (``keep_good`` keeps all); repeated rows stay.
 """
 
 from __future__ import annotations
@@ -23,13 +24,12 @@ from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
-import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusmill.llm.batches import append, bounded_sample, fresh
+from corpusmill.llm.batches import append, fresh, labelled_texts
 from corpusmill.session import spread
 
 BLOCK, LEVEL = 1024, 3
@@ -70,12 +70,11 @@ class Evidence:
         return d, short, d * short
 
 
-def _dictionary(texts: list[str], blocks: int) -> bytes:
+def _dictionary(texts: list[str]) -> bytes:
     parts = []
     for text in texts:
         raw = _encode(text)
-        step = max(1, -(-len(raw) // (BLOCK * blocks))) * BLOCK
-        parts += [raw[at : at + BLOCK] for at in range(0, len(raw), step)]
+        parts += [raw[at : at + BLOCK] for at in range(0, len(raw), BLOCK)]
     parts = [p for p in parts if len(p) >= 8]
     try:
         return zstandard.train_dictionary(DICTIONARY, parts).as_bytes()
@@ -97,11 +96,11 @@ def _fit_curve(x: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
     return (*(w[:-1] / scale), w[-1])
 
 
-def fit(rows: list[tuple[str, int]], blocks_per_doc: int = 4) -> Model:
+def fit(rows: list[tuple[str, int]]) -> Model:
     """A model of (text, label) rows, in the order given: every third fits the curve."""
     texts = {label: [t for t, q in rows if q == label] for label in (0, 1)}
     seen = {label: [t for i, t in enumerate(ts) if i % 3] for label, ts in texts.items()}
-    good, bad = _dictionary(seen[1], blocks_per_doc), _dictionary(seen[0], blocks_per_doc)
+    good, bad = _dictionary(seen[1]), _dictionary(seen[0])
     held = [(t, label) for label, ts in texts.items() for t in ts[::3]]
     if not texts[0] or not texts[1]:
         share = 0.5 if not rows else min(0.999, max(0.001, len(texts[1]) / len(rows)))
@@ -113,17 +112,14 @@ def fit(rows: list[tuple[str, int]], blocks_per_doc: int = 4) -> Model:
 
 
 def learn(
-    docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", docs_per_label: int = 1500, chars: int = 8192
+    docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", docs_per_label: int = 1500, chars: int = 8_000_000
 ) -> Model:
-    """Fits on a bounded sample: 2 x ``docs_per_label`` rows, ``chars`` characters of each, reach the driver."""
+    """Fits on a bounded sample: at most ``docs_per_label`` whole texts and ``chars`` characters of each label reach the driver."""
+    rows = labelled_texts(docs, labels, key, text, label, docs_per_label, chars)
+    model = fit([(value, y) for _, value, y in rows])
     known = labels.select(key, F.col(label).cast("int").alias("label")).filter(F.col("label").isin(0, 1) & F.col(key).isNotNull()).distinct()
-    ids = bounded_sample(known, "label", key, docs_per_label)
-    part = docs.filter(F.col(text).isNotNull()).select(key, F.substring(text, 1, chars).alias("text"))
-    rows = part.join(F.broadcast(ids), key).select(key, "text", "label").limit(4 * docs_per_label).collect()
-    rows.sort(key=lambda r: (_id_order(r[0]), str(r[1])))
-    model = fit([(r[1], r[2]) for r in rows])
     counts = {r[0]: r[1] for r in known.groupBy("label").count().collect()}
-    drawn = {q: max(1, sum(r[2] == q for r in rows)) for q in (0, 1)}
+    drawn = {q: max(1, sum(y == q for _, _, y in rows)) for q in (0, 1)}
     if len(counts) < 2:
         return model
     # the sample holds the labels in other shares than the table: move the curve's level back
@@ -131,11 +127,6 @@ def learn(
     return Model(model.good, model.bad, (*model.weights[:3], model.weights[3] + odds))
 
 
-def _id_order(value) -> int:
-    """A stable order of ids that does not follow their size."""
-    return xxhash.xxh64_intdigest(str(value))
-
-
 @lru_cache(maxsize=2)
 def _evidence(good: bytes, bad: bytes) -> Evidence:
     return Evidence(good, bad)
