@@ -10,6 +10,12 @@ from corpusmill.operators import text as X
 from corpusmill.session import broadcast_if_small, store
 
 
+#: The same in SQL; D has doc_id and the words w.
+BIGRAMS = "SELECT doc_id, w[i] AS a, w[i + 1] AS b, count(*) AS n FROM (SELECT doc_id, w, unnest(range(1, len(w))) AS i FROM {D}) GROUP BY ALL"
+SQL = f"""WITH big AS ({BIGRAMS}), ab AS (SELECT a, b, sum(n) AS c_ab FROM big GROUP BY ALL), fa AS (SELECT a, sum(n) AS c_a FROM big GROUP BY ALL),
+v AS (SELECT count(*) AS v FROM fa) SELECT doc_id, round(exp(-sum(n * ln((c_ab + 1)::DOUBLE / (c_a + v))) / sum(n)), 2) AS ppl FROM big JOIN ab USING (a, b) JOIN fa USING (a), v GROUP BY doc_id"""
+
+
 def bigram_counts(docs: DataFrame) -> DataFrame:
     """doc_id, a, b, n: how often word ``b`` follows ``a`` in each text; counted before any join."""
     pairs = let(X.words(F.col("text")), lambda w: F.transform(F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0))), lambda a, i: F.struct(a.alias("a"), F.get(w, i + 1).alias("b"))))

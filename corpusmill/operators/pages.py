@@ -7,7 +7,9 @@ from urllib.parse import urljoin
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
+from corpusmill.functions.arrow import explode_rows
 from corpusmill.session import ship, spread
 
 #: Containers whose text is an element, by kind.
@@ -128,3 +130,32 @@ def page_elements(pages: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["page_id", "kind", "n", "val"])
 
     return spread(pages.select("page_id", "url", "html")).mapInArrow(run, "page_id long, kind string, n int, val string")
+
+
+class Links(HTMLParser):
+    """Collects the addresses of links as they stand."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.found: list[str] = []
+
+    def handle_starttag(self, tag, attrs):
+        if tag == "a":
+            self.found += [value for name, value in attrs if name == "href" and value is not None]
+
+
+def links(pages: DataFrame) -> DataFrame:
+    """page_id, n, link: absolute addresses in page order; what can't be joined to the page's stays as it is."""
+    def join(base, link):
+        try:
+            return urljoin(base, link)
+        except ValueError:
+            return link
+
+    def run(url, html):
+        parser = Links()
+        parser.feed(html or "")
+        parser.close()
+        return [(i, join(url or "", link)) for i, link in enumerate(parser.found)]
+
+    return explode_rows(pages, "page_id", ["url", "html"], [("n", T.IntegerType()), ("link", T.StringType())], lambda: run)

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from corpusmill.functions.expr import let
-from corpusmill.functions.lexicon import FLAGGED, STOPWORDS
+from corpusmill.functions.lexicon import lang_group
 
 SPACE = r"[ \t\n\r\f]+"
 
@@ -17,12 +15,6 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(text, SPACE), "")
 
 
-def special_char_score(text: Column) -> Column:
-    """Share of characters that are no letter, mark or space; an empty text scores 1."""
-    rest = F.length(F.regexp_replace(text, r"[\p{L}\p{M} ]", ""))
-    return F.when(F.length(text) == 0, 1.0).otherwise(F.round(rest / F.length(text), 6))
-
-
 def ngrams(tokens: Column, n: int, drop_last: bool = True) -> Column:
     """Runs of ``n`` tokens joined by spaces; by default the last window is left out."""
     count = F.size(tokens) - n + (0 if drop_last else 1)
@@ -30,46 +22,6 @@ def ngrams(tokens: Column, n: int, drop_last: bool = True) -> Column:
     return F.transform(starts, lambda i: F.array_join(F.slice(tokens, i, F.lit(n)), " "))
 
 
-def most_frequent(items: Column) -> Column:
-    """How often the most frequent item occurs: the longest run of the sorted array."""
-    zero = F.struct(F.lit(None).cast("string").alias("last"), F.lit(0).alias("run"), F.lit(0).alias("best"))
-
-    def step(s, x):
-        run = F.when(x.eqNullSafe(s["last"]), s["run"] + 1).otherwise(F.lit(1))
-        return F.struct(x.alias("last"), run.alias("run"), F.greatest(s["best"], run).alias("best"))
-
-    return F.aggregate(F.array_sort(items), zero, step, lambda s: s["best"])
-
-
-def ngram_score(text: Column, n: int = 3) -> Column:
-    """Count of the most frequent word n-gram by number of words (spaces + 1)."""
-    spaces = F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit("")))
-    best = let(words(text), lambda w: most_frequent(ngrams(w, n)))
-    return F.round(best / (spaces + 1), 6)
-
-
-def share_of(text: Column, terms: Sequence[str]) -> Column:
-    """Share of words that are among ``terms`` (lower case); no words: 0."""
-    listed = list(terms)
-    return let(words(text), lambda w: F.when(F.size(w) == 0, 0.0).otherwise(F.round(F.size(F.filter(w, lambda x: F.lower(x).isin(listed))) / F.size(w), 6)))
-
-
-def by_lang(lang: Column, text: Column, lists: dict[str, Sequence[str]], none: float) -> Column:
-    """share_of with the list of the row's language; ``none`` where there is no list."""
-    out = F.lit(none)
-    for code, terms in lists.items():
-        out = F.when(lang == code, share_of(text, terms)).otherwise(out)
-    return out
-
-
-def stopword_score(lang: Column, text: Column) -> Column:
-    return by_lang(lang, text, STOPWORDS, 1.0)
-
-
-def flagged_score(text: Column) -> Column:
-    return share_of(text, FLAGGED)
-
-
 def compound_ratio(text: Column) -> Column:
     """Sum of squared numbers of underscores per word, by words."""
     def total(w):
@@ -97,17 +49,46 @@ def emoji_strip(text: Column) -> Column:
     return F.regexp_replace(text, r"[\x{1F300}-\x{1F5FF}\x{1F600}-\x{1F64F}\x{1F680}-\x{1F6FF}\x{1F1E0}-\x{1F1FF}]", "")
 
 
-#: Full-width and typographic marks, and their plain forms.
-MARKS, PLAIN = "，。、„”“«»」「《》∶：？！（）；–—．～’【】％", ",.,\"\"\"\"\"\"\"\"\"::?!();--.~'[]%"
-
-
-def unicode_punct_norm(text: Column) -> Column:
-    return F.translate(text, MARKS, PLAIN)
-
-
 def mask_digits(text: Column) -> Column:
-    return F.regexp_replace(text, r"[0-9]", "1")
+    return F.regexp_replace(text, r"\p{Nd}", "1")
 
 
 def sentences(text: Column) -> Column:
     return F.array_remove(F.split(text, r"[.!?]+[ \n]*"), "")
+
+
+def lang_rules(first: str, score: str, second: str, stop: dict[str, str], script: str) -> tuple[Column, Column]:
+    """(lang_id, score) from two opinions, stop-word shares by language (columns ``stop``) and the script.
+
+    ``first`` with ``score`` is one model's label, ``second`` the other's. A score is raised by half
+    if the labels differ but are of one group, or if it lies between .3 and .5 and is; then between .3 and .5 if the label's stop words fill
+    more than .2 of the text. Below .5 the first language whose stop words do is taken with .3 + its share;
+    still below .5, the script decides.
+    """
+    lang, other = F.col(first), F.col(second)
+    near = F.lit(None).cast("boolean")
+    for code in stop:
+        near = F.when(other == code, lang.isin(*lang_group(code))).otherwise(near)
+    near = F.coalesce(near, lang.eqNullSafe(other))
+    own, some, share = (F.lit(None).cast(t) for t in ("double", "string", "double"))
+    for code, column in reversed(stop.items()):
+        own = F.when(lang == code, F.col(column)).otherwise(own)
+        some, share = F.when(F.col(column) > 0.2, F.lit(code)).otherwise(some), F.when(F.col(column) > 0.2, F.col(column)).otherwise(share)
+
+    def between(x: Column) -> Column:
+        return (x > 0.3) & (x < 0.5)
+
+    def rules(s1: Column) -> Column:
+        return let(F.when(between(s1) & (own > 0.2), s1 * 1.5).otherwise(s1), last)
+
+    def last(s2: Column) -> Column:
+        low = s2 < 0.5
+        best = F.when(low, F.coalesce(some, lang)).otherwise(lang)
+        s3 = F.when(low, F.coalesce(share + 0.3, s2)).otherwise(s2)
+        seen = (s3 < 0.5) & F.col(script).isNotNull()
+        end = F.when(seen & (F.col(script) == best), s3 + 0.3).when(seen, 1 - s3).otherwise(s3)
+        return F.struct(F.when(seen, F.col(script)).otherwise(best).alias("lang"), F.round(end, 6).alias("score"))
+
+    unsure = ~lang.eqNullSafe(other) | between(F.col(score))
+    judged = let(F.when(unsure & near, F.col(score) * 1.5).otherwise(F.col(score)), rules)
+    return judged["lang"].alias("lang_id"), judged["score"].alias("score")

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from corpusmill.session import fresh, store
+
 BUCKET, BLOCK = 65_536, 8_192
 
 
@@ -15,32 +17,38 @@ def look_back(rows: DataFrame, key: str, seq: str, back: int, make: Callable[[Wi
 
     A key may hold any share of the rows: rows are numbered by counts of buckets of ``seq``, dealt in
     blocks of BLOCK rows, and each block gets the last ``back`` rows of the one before as context.
+    A null key is a key of its own; rows of a null ``seq`` come first. Ties of ``seq`` are in no fixed order.
+    The rows are stored first, as they are read twice.
     """
     if back >= BLOCK:
         raise ValueError("the frame is longer than a block")
-    rows = rows.withColumn("_bucket", F.floor(F.col(seq) / BUCKET))
-    sizes = rows.groupBy(key, "_bucket").count()
-    before = Window.partitionBy(key).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.select(key, "_bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_before"))
-    placed = rows.join(sizes, [key, "_bucket"])
-    at = F.row_number().over(Window.partitionBy(key, "_bucket").orderBy(seq)) - 1 + F.col("_before")
-    placed = placed.withColumn("_at", at).withColumn("_own", F.floor(F.col("_at") / BLOCK))
-    late = F.col("_at") % BLOCK >= BLOCK - back
-    blocks = F.when(late, F.array("_own", F.col("_own") + 1)).otherwise(F.array("_own"))
-    dealt = placed.withColumn("_block", F.explode(blocks))
-    frame = Window.partitionBy(key, "_block").orderBy("_at").rowsBetween(-back, 0)
+    rows = store(rows, "sequence")
+    bucket, before, at, own, block = (fresh(rows, n) for n in ("bucket", "before", "at", "own", "block"))
+    rows = rows.withColumn(bucket, F.floor(F.col(seq) / BUCKET))
+    sizes = rows.groupBy(key, bucket).agg(F.count(F.lit(1)).alias("n"))
+    ahead = Window.partitionBy(key).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select(F.col(key).alias("size_key"), F.col(bucket).alias("size_bucket"), F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias(before))
+    placed = rows.join(sizes, rows[key].eqNullSafe(sizes["size_key"]) & rows[bucket].eqNullSafe(sizes["size_bucket"])).drop("size_key", "size_bucket")
+    place = F.row_number().over(Window.partitionBy(key, bucket).orderBy(seq)) - 1 + F.col(before)
+    placed = placed.withColumn(at, place).withColumn(own, F.floor(F.col(at) / BLOCK))
+    late = F.col(at) % BLOCK >= BLOCK - back
+    blocks = F.when(late, F.array(own, F.col(own) + 1)).otherwise(F.array(own))
+    dealt = placed.withColumn(block, F.explode(blocks))
+    frame = Window.partitionBy(key, block).orderBy(at).rowsBetween(-back, 0)
     made = dealt.withColumns(make(frame))
-    return made.filter("_block = _own").drop("_bucket", "_before", "_at", "_own", "_block")
+    return made.filter(F.col(block) == F.col(own)).drop(bucket, before, at, own, block)
 
 
-def moving_cutoff(rows: DataFrame, key: str, seq: str, score: str, window: int = 500, lower: float = 2.0) -> DataFrame:
+def moving_cutoff(rows: DataFrame, key: str, seq: str, score: str, window: int = 500, lower: float = 2.0, upper: float | None = None) -> DataFrame:
     """mean, sd and cutoff (mean - lower x sd) over the last ``window`` scores; keep: score >= cutoff.
 
-    The row's own score counts. One score has no deviation: the row is kept.
+    With ``upper`` the cutoff is mean + upper x sd and higher scores go. The row's own score counts.
+    One score has no deviation: the row is kept.
     """
     # sums of whole millionths don't depend on their order
     millionths = F.round(F.col(score) * 1e6).cast("long")
     rows = look_back(rows, key, seq, window - 1, lambda f: {"mean": F.avg(millionths).over(f) / 1e6, "sd": F.stddev_samp(score).over(f)})
     rows = rows.withColumns({"mean": F.round("mean", 6), "sd": F.round("sd", 6)})
-    rows = rows.withColumn("cutoff", F.round(F.col("mean") - lower * F.col("sd"), 6))
-    return rows.withColumn("keep", F.coalesce(F.col(score) >= F.col("cutoff"), F.lit(True)))
+    rows = rows.withColumn("cutoff", F.round(F.col("mean") - lower * F.col("sd") if upper is None else F.col("mean") + upper * F.col("sd"), 6))
+    fits = F.col(score) >= F.col("cutoff") if upper is None else F.col(score) <= F.col("cutoff")
+    return rows.withColumn("keep", F.coalesce(fits, F.lit(True)))

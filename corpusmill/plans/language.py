@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corpusmill.functions.lexicon import FLAGGED
+from corpusmill.functions.sql import D
 from corpusmill.operators import language_model, pages, personal, spans
 from corpusmill.operators import text as X
-from corpusmill.plans.scores import NGRAM, SPECIAL, D, _share
+from corpusmill.operators import scores as S
+from corpusmill.plans.scores import FLAGS, NGRAM, SPECIAL, _flagged
 from corpusmill.registry import query
 from corpusmill.session import broadcast_if_small, table
 
@@ -16,11 +17,10 @@ def _docs(spark, sf_dir, *columns):
     return table(spark, sf_dir, "documents", *(columns or ("doc_id", "text")))
 
 
-_BIGRAMS = f"big AS (SELECT doc_id, w[i] AS a, w[i + 1] AS b, count(*) AS n FROM (SELECT doc_id, w, unnest(range(1, len(w))) AS i FROM {D}) GROUP BY ALL)"
+_BIGRAMS = f"big AS ({language_model.BIGRAMS.format(D=D)})"
 
 
-@query(f"""WITH {_BIGRAMS}, ab AS (SELECT a, b, sum(n) AS c_ab FROM big GROUP BY ALL), fa AS (SELECT a, sum(n) AS c_a FROM big GROUP BY ALL),
-v AS (SELECT count(*) AS v FROM fa) SELECT doc_id, round(exp(-sum(n * ln((c_ab + 1)::DOUBLE / (c_a + v))) / sum(n)), 2) AS ppl FROM big JOIN ab USING (a, b) JOIN fa USING (a), v GROUP BY doc_id""")
+@query(language_model.SQL.format(D=D))
 def perplexity(spark, sf_dir):
     return language_model.perplexity(_docs(spark, sf_dir))
 
@@ -80,16 +80,17 @@ def benchmark_overlap(spark, sf_dir):
     return grams("documents", "doc_id").join(items, "g").groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("shared"))
 
 
-_WEAK = f"SELECT doc_id, (CASE WHEN len(w) < 30 THEN -1 ELSE 1 END + CASE WHEN {SPECIAL} > 0.2 THEN -1 ELSE 1 END + CASE WHEN ng > 0.1 THEN -1 ELSE 1 END + CASE WHEN {_share(FLAGGED)} > 0.02 THEN -1 ELSE 1 END + CASE WHEN regexp_matches(text, '[.!?][ \n]*$') THEN 1 ELSE -1 END)::BIGINT AS votes FROM (SELECT *, {NGRAM} AS ng FROM {D})"
+_WEAK = f"SELECT d.doc_id, (CASE WHEN len(w) < 30 THEN -1 ELSE 1 END + CASE WHEN {SPECIAL} > 0.2 THEN -1 ELSE 1 END + CASE WHEN ng > 0.1 THEN -1 ELSE 1 END + CASE WHEN flagged > 0.02 THEN -1 ELSE 1 END + CASE WHEN regexp_matches(text, '[.!?][ \n]*$') THEN 1 ELSE -1 END)::BIGINT AS votes FROM (SELECT *, {NGRAM} AS ng FROM {D}) d JOIN flags f ON f.doc_id = d.doc_id"
 
 
-@query(f"SELECT doc_id, votes, (votes > 0) AS good FROM ({_WEAK})")
+@query(f"WITH {FLAGS} SELECT doc_id, votes, (votes > 0) AS good FROM ({_WEAK})")
 def weak_labels(spark, sf_dir):
     """Five labelling functions and their majority."""
-    text = F.col("text")
-    tests = (
-        F.size(X.words(text)) >= 30, X.special_char_score(text) <= 0.2, X.ngram_score(text) <= 0.1,
-        X.flagged_score(text) <= 0.02, text.rlike(r"[.!?][ \n]*$"),
-    )
+    wanted = {
+        "n": lambda v, lang, w, low: len(w), "special": lambda v, lang, w, low: S.junk_share(v), "ngram": S.ngram_score(),
+        "flagged": S.lexicon_score(_flagged(spark, sf_dir)), "ends": lambda v, lang, w, low: bool(w) and w[-1][-1] in ".!?",
+    }
+    rows = S.text_scores(_docs(spark, sf_dir, "doc_id", "lang", "text"), wanted)
+    tests = (F.col("n") >= 30, F.col("special") <= 0.2, F.col("ngram") <= 0.1, F.col("flagged") <= 0.02, F.col("ends") == 1)
     votes = sum((F.when(t, 1).otherwise(-1) for t in tests), F.lit(0))
-    return _docs(spark, sf_dir).select("doc_id", votes.cast("long").alias("votes")).withColumn("good", F.col("votes") > 0)
+    return rows.select("doc_id", votes.cast("long").alias("votes")).withColumn("good", F.col("votes") > 0)

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from corpusmill.operators import text as X
-from corpusmill.plans.scores import D
+from corpusmill.functions.sql import D
 from corpusmill.registry import query
 from corpusmill.session import broadcast_if_small, store, table
 

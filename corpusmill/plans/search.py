@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.operators import vectors
 from corpusmill.plans.more import bm25_topk
-from corpusmill.plans.scores import D
+from corpusmill.functions.sql import D
 from corpusmill.registry import _QUERIES, query
 from corpusmill.session import table
 from corpusmill.streaming import incremental

@@ -56,11 +56,15 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
 def _shared_folder(spark: SparkSession) -> str:
     """The folder that the cluster names in ``spark.checkpoint.dir``.
 
-    Only where that is unset (tests on one machine) is a temporary one made.
+    Only on one machine (a local master, as in tests) a temporary one is made where that is unset;
+    on a cluster its absence is an error, as executors don't share a machine's folders.
     """
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-"))
+        named = context.getConf().get("spark.checkpoint.dir")
+        if not named and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
     return context._jsc.sc().getCheckpointDir().get()
 
 
@@ -99,21 +103,48 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
-def with_columns(schema: T.StructType | str, *fields: tuple[str, T.DataType]) -> T.StructType:
-    base = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
-    return T.StructType([*base.fields, *(T.StructField(n, t) for n, t in fields)])
-
-
 def ascii_lower(column) -> F.Column:
     """Lower-case A-Z alone, as the word rules ask; other letters stay."""
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
     return F.translate(column, upper, upper.lower())
 
 
-#: Rows of a narrow table (ids, hashes) that may be broadcast: some 16 bytes each, 32 MB.
-MOST_BROADCAST = 2_000_000
+#: Bytes of a table that may be broadcast, and what a row takes beside its texts.
+MOST_BROADCAST, ROW_BYTES = 32 * 2**20, 32
 
 
 def broadcast_if_small(narrow: DataFrame, most: int = MOST_BROADCAST) -> DataFrame:
-    """``narrow`` marked for broadcast if it has at most ``most`` rows, else as it is (a shuffled join)."""
-    return F.broadcast(narrow) if narrow.limit(most + 1).count() <= most else narrow
+    """``narrow`` marked for broadcast if it takes at most ``most`` bytes, else as it is (a shuffled join)."""
+    fixed = (T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
+    texts = [f.name for f in narrow.schema if not isinstance(f.dataType, fixed)]
+    row = ROW_BYTES + 8 * (len(narrow.columns) - len(texts))
+    sizes = (F.sum(F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0))) for c in texts)
+    count, *lengths = narrow.limit(most // row + 1).agg(F.count(F.lit(1)), *sizes).first()
+    return F.broadcast(narrow) if count * row + sum(n or 0 for n in lengths) <= most else narrow
+
+
+#: Rows of one key from which on its group is joined by broadcast.
+HOT = 1_000_000
+
+
+def join_back(rows: DataFrame, groups: DataFrame, on: str, count: str = "n", hot: int | None = None) -> DataFrame:
+    """``rows`` with the columns of ``groups``, one row for each value of ``on``; ``count`` tells its rows and goes.
+
+    Groups of more than ``hot`` rows (there are at most rows / hot) are joined by broadcast, so no
+    task gathers such a group. Both tables are read several times: store them first. Null values of ``on`` meet nothing.
+    """
+    hot = HOT if hot is None else hot
+    large = groups.filter(F.col(count) > hot)
+    if large.isEmpty():
+        return rows.join(groups.drop(count), on)
+    large = broadcast_if_small(large.drop(count))
+    rest = rows.join(large.select(on), on, "left_anti").join(groups.filter(F.col(count) <= hot).drop(count), on)
+    return rows.join(large, on).unionByName(rest)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` doesn't have, whatever extra columns it carries."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
