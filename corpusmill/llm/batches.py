@@ -10,15 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from corpusmill.session import ship
-
-
-def fresh(df: DataFrame, name: str) -> str:
-    """A column name that ``df`` doesn't have, whatever extra columns it carries."""
-    taken = {c.lower() for c in df.columns}
-    while name.lower() in taken:
-        name = f"_{name}"
-    return name
+from corpusmill.session import fresh, ship
 
 
 def append(

@@ -1,7 +1,8 @@
 """Operator 4: near-duplicate documents by a multi-index Hamming join of MinHash signatures.
 
 A document's set holds the hashes of its distinct shingles of ``size`` words (``WORDS`` unless told). Documents with equal sets
-form a class, which is compared once. A class's signature has ``POSITIONS`` symbols of 16 bits (the
+form a class, which is compared once. A class is named by a 64-bit hash of its set; if documents of one name differ
+in signature or size (at ten thousand million documents a few do), a second hash tells them apart. A class's signature has ``POSITIONS`` symbols of 16 bits (the
 low bits of so many MinHash values); two classes' distance is the number of positions that differ.
 
 Multi-index: the positions fall into ``CHUNKS`` chunks. Two signatures at a distance below
@@ -23,7 +24,10 @@ of different components are confirmed, which settles every key.
 Null text, or text without words: no shingles, linked with nothing, kept. Fewer than ``size`` words:
 the whole sequence is the one shingle. Rows that repeat an id are nodes of the same name: each is
 judged by its own text. Null ids: never the smallest of a class that has others; a component
-of null ids alone has a null component and its rows are kept.
+of null ids alone has a null component and its rows are kept. Copies of a text, of one id or of none,
+cost one row each: a class's set is made from the rows of its lowest id with its first text only.
+Very long texts are read whole; an empty table gives an empty result; extra columns are dropped
+(``keep_one`` keeps all).
 """
 
 from __future__ import annotations
@@ -35,14 +39,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusmill.llm.batches import append, fresh
-from corpusmill.session import broadcast_if_small, cut, spread, store
+from corpusmill.llm.batches import append
+from corpusmill.session import broadcast_if_small, cut, fresh, join_back, spread, store
 
 WORDS = 4
 CHUNKS, CHUNK = 16, 5
 POSITIONS = CHUNKS * CHUNK
 GUARANTEED = 2 * CHUNKS - 1
 MEMO = 100_000
+#: Prefixes with one shingle from which on they are settled by a center first.
+HOT_SHINGLE = 1_000
 #: Rows of an Arrow batch with whole texts or sets: a pair of sets of 20,000 shingles takes 320 KB.
 BATCH = 256
 
@@ -169,12 +175,14 @@ def _screen(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def _sets(nodes: DataFrame, classes: DataFrame, rows: DataFrame, size: int) -> DataFrame:
-    """node, n, set: the shingle sets of the classes ``nodes``, from one document of each class."""
-    wanted = cut(nodes.join(classes.select("node", "low"), "node").select(F.col("low").alias("of"), "node"))
-    picked = rows.join(broadcast_if_small(wanted), F.col("doc_id").eqNullSafe(F.col("of"))).select("node", "text")
-    sets = append(picked, ["text"], [("class", T.LongType()), ("n", T.LongType()), ("set", T.BinaryType())], _profiler("class", "size", "set", size=size))
-    # an id may stand on several rows: those of other classes go, and of equal ones one stays
-    sets = sets.filter("class = node").select("node", "n", "set")
+    """node, n, set: the shingle sets of the classes ``nodes``, from the rows of one text of each class."""
+    wanted = nodes.join(classes.select("node", "of"), "node").select("node", F.col("of.doc_id").alias("of"), F.col("of.text_hash").alias("of_hash"))
+    wanted = cut(wanted)
+    same = F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("text_hash") == F.col("of_hash"))
+    picked = rows.join(broadcast_if_small(wanted), same).select("node", "text")
+    sets = append(picked, ["text"], [("n", T.LongType()), ("set", T.BinaryType())], _profiler("size", "set", size=size))
+    # rows that repeat an id and its text have the same set
+    sets = sets.select("node", "n", "set")
     return store(sets.groupBy("node").agg(F.first("n").alias("n"), F.first("set").alias("set")), "sets", BATCH)
 
 
@@ -195,8 +203,8 @@ def _confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long")
 
 
-def _prefix_pairs(sets: DataFrame) -> DataFrame:
-    """Pairs (a, b) of different components that share a shingle of their prefixes. sets: node, comp, n, set."""
+def _prefixes(sets: DataFrame) -> DataFrame:
+    """shingle, node, comp, n, place: the prefixes of sets (node, comp, n, set) where components meet."""
 
     def run(batches):
         for batch in batches:
@@ -213,7 +221,11 @@ def _prefix_pairs(sets: DataFrame) -> DataFrame:
     place = F.row_number().over(Window.partitionBy("node").orderBy("df", "shingle")) + alone
     length = F.col("n") - F.expr("(4 * n + 4) div 5") + 1
     prefix = ranked.withColumn("place", place).filter(F.col("place") <= length).filter("low <> high")
-    prefix = store(prefix.select("shingle", "node", "comp", "n", "place"), "prefix", BATCH)
+    return store(prefix.select("shingle", "node", "comp", "n", "place"), "prefix", BATCH)
+
+
+def _prefix_pairs(prefix: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different components that share a shingle of their prefixes."""
     pairs = prefix.toDF("shingle", "a", "ca", "na", "pa").join(prefix.toDF("shingle", "b", "cb", "nb", "pb"), "shingle")
     # at their first common shingle, two sets hold as many more in common as the shorter rest has places:
     # 100 x intersection >= 80 x union means 9 x intersection >= 4 x (sum of sizes)
@@ -221,6 +233,30 @@ def _prefix_pairs(sets: DataFrame) -> DataFrame:
     return near.select("a", "b").distinct()
 
 
+def _rest(left: DataFrame, sets: DataFrame) -> DataFrame:
+    """Confirmed links (a, b) between the components of ``left`` (node, comp, n, set), enough to join them.
+
+    A shingle in a great many prefixes (a template that short texts are made of) would meet all their
+    pairs. Its sets are first compared with the largest of them, so that what is alike becomes one
+    component; only pairs of components that remain apart are met.
+    """
+    prefix = _prefixes(left)
+    hot = cut(prefix.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")).filter(F.col("df") > HOT_SHINGLE).select("shingle"))
+    if hot.isEmpty():
+        return store(_confirm(_prefix_pairs(prefix), sets), "edges", BATCH)
+    members = prefix.join(broadcast_if_small(hot), "shingle")
+    centers = members.groupBy("shingle").agg(F.max(F.struct("n", "node")).getField("node").alias("center"))
+    pairs = members.join(broadcast_if_small(cut(centers)), "shingle").filter("node <> center")
+    pairs = pairs.select(F.least("node", "center").alias("a"), F.greatest("node", "center").alias("b")).distinct()
+    stars = store(_confirm(pairs, sets), "edges", BATCH)
+    comps = prefix.select("node", "comp").distinct()
+    joins = stars.join(comps.toDF("a", "ca"), "a").join(comps.toDF("b", "cb"), "b").filter("ca <> cb")
+    names = components(joins.select(F.col("ca").alias("a"), F.col("cb").alias("b"))).toDF("comp", "up")
+    prefix = prefix.join(names, "comp", "left").withColumn("comp", F.coalesce("up", "comp")).select("shingle", "node", "comp", "n", "place")
+    found = _confirm(_prefix_pairs(store(prefix, "prefix", BATCH)), sets)
+    return store(stars.unionByName(found), "edges", BATCH)
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, comp) of every node in ``edges`` (a, b): comp is the smallest node it reaches.
 
@@ -266,31 +302,53 @@ def _links(classes: DataFrame, rows: DataFrame, size: int) -> DataFrame | None:
     now = now.withColumn("comp", F.col("node")) if labels is None else now.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     split = now.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("key")
     left = now.join(split, "key", "left_semi").select("node", "comp").distinct()
-    more = store(_confirm(_prefix_pairs(store(sets.join(left, "node"), "left")), sets), "edges", BATCH)
+    more = _rest(store(sets.join(left, "node"), "left"), sets)
     return labels if more.isEmpty() else components(edges.union(more))
 
 
+def _classes(profiles: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(profiles, classes): classes have node, low (lowest id), of (the row that stands for it), n_shingles, signature and n."""
+
+    def group(profiles):
+        some = profiles.filter(F.col("node").isNotNull())
+        stands = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash"))
+        second = F.xxhash64("signature", "n_shingles")
+        return cut(some.groupBy("node").agg(
+            F.min("doc_id").alias("low"), stands.alias("of"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature"),
+            F.count(F.lit(1)).alias("n"), F.min(second).alias("s1"), F.max(second).alias("s2"),
+        ))
+
+    classes = group(profiles)
+    doubtful = classes.filter("s1 <> s2").select(F.col("node").alias("twice"))
+    if not doubtful.isEmpty():  # unequal sets of one name: a few among thousands of millions
+        met = profiles.join(broadcast_if_small(doubtful), F.col("node") == F.col("twice"), "left")
+        named = F.when(F.col("twice").isNull(), F.col("node")).otherwise(F.xxhash64("node", "signature", "n_shingles"))
+        profiles = cut(met.withColumn("node", named).drop("twice"), "profiles", BATCH)
+        classes = group(profiles)
+    return profiles, classes
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = WORDS) -> DataFrame:
     """key, n_shingles, component_id (smallest id reachable), kept, class_id."""
     fields = [("node", T.LongType()), ("n_shingles", T.LongType()), ("signature", T.BinaryType())]
-    rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
+    rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("text_hash"))
     profiles = append(spread(rows), ["text"], fields, _profiler("class", "size", "signature", size=size)).drop("text")
-    profiles = cut(profiles, "profiles", BATCH)
-    some = profiles.filter(F.col("node").isNotNull())
-    firsts = (F.min("doc_id").alias("low"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature"))
-    classes = cut(some.groupBy("node").agg(*firsts))
+    profiles, classes = _classes(cut(profiles, "profiles", BATCH))
     labels = _links(classes, rows, size)
     if labels is None:
-        reach = classes.select("node", F.col("low").alias("component_id"))
+        reach = classes.select("node", F.col("low").alias("component_id"), "n")
     else:
-        every = classes.join(labels, "node", "left").select("node", "low", F.coalesce("comp", "node").alias("comp"))
+        every = classes.join(labels, "node", "left").select("node", "low", "n", F.coalesce("comp", "node").alias("comp"))
         lows = every.groupBy("comp").agg(F.min("low").alias("component_id"))
         # of components only those with links are many to one; a hot one must not gather in a task
         linked = broadcast_if_small(cut(lows.join(labels.select("comp").distinct(), "comp")))
-        reach = every.join(linked, "comp", "left").select("node", F.coalesce("component_id", "low").alias("component_id"))
-    joined = profiles.select("doc_id", "node", "n_shingles").join(reach, "node", "left")
-    component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    out = joined.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), F.col("node").alias("class_id"))
+        reach = every.join(linked, "comp", "left").select("node", F.coalesce("component_id", "low").alias("component_id"), "n")
+    profiles = profiles.select("doc_id", "node", "n_shingles")
+    none = profiles.filter(F.col("node").isNull()).withColumn("component_id", F.col("doc_id"))
+    # documents without words meet nothing, and a class of a great many copies is joined by broadcast
+    joined = join_back(profiles.filter(F.col("node").isNotNull()), cut(reach), "node").unionByName(none)
+    same = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    out = joined.select("doc_id", "n_shingles", "component_id", same.alias("kept"), F.col("node").alias("class_id"))
     return out.withColumnRenamed("doc_id", key)
 
 
