@@ -4,21 +4,16 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusmill.functions.expr import let
+from corpusmill.operators.lexical import Best
 from corpusmill.session import ship, store
 
 BLOCK = 1024
 
 
-def _blocks(rows: DataFrame, side: str) -> DataFrame:
-    """Rows dealt at random but repeatably to blocks of about BLOCK rows, one row a block."""
-    count = max(1, -(-rows.count() // BLOCK))
-    dealt = rows.select(F.pmod(F.xxhash64("vec_id"), F.lit(count)).alias(side), "vec_id", "embedding")
-    return dealt.groupBy(side).agg(F.collect_list("vec_id").alias(f"{side}_ids"), F.collect_list("embedding").alias(f"{side}_vectors"))
-
-
 def _unit(vectors: list) -> np.ndarray:
     m = np.asarray(vectors, np.float64)
     norms = np.linalg.norm(m, axis=1, keepdims=True)
@@ -43,52 +38,203 @@ def _best(met: DataFrame, k: int, digits: int) -> DataFrame:
     return best.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
+#: Bytes of query vectors that go to the tasks at once; each such group is one pass over the rows.
+GROUP_BYTES = 16 * 2**20
+
+
 def cosine_topk(queries: DataFrame, rows: DataFrame, k: int = 5, digits: int = 4) -> DataFrame:
     """vec_id, nn_id, rank, score: the ``k`` rows most similar to each query, itself left out.
 
-    Exact. Blocks of queries meet blocks of rows (one matrix product); each meeting passes on its best
-    ``k``, so what is shuffled is k x queries x blocks. Rows with a null vector are skipped; a zero
-    vector scores 0; ties go to the lower id.
+    Exact. Groups of queries (``GROUP_BYTES`` of vectors) go to the tasks, which meet their rows in
+    blocks by one matrix product and pass on their ``k`` best for each query: the rows are not
+    shuffled. Rows with a null vector or id are skipped; a zero vector scores 0; ties go to the lower id.
     """
     ship(rows.sparkSession)
-    queries, rows = (d.filter(F.col("embedding").isNotNull()) for d in (queries, rows))
-    left, right = store(_blocks(queries, "q"), "queries"), store(_blocks(rows, "r"), "blocks")
-    wanted = left.select("q").collect()  # block numbers: one for each BLOCK queries
-    meetings = right.withColumn("q", F.explode(F.array(*(F.lit(w[0]) for w in wanted)) if wanted else F.array().cast("array<long>")))
-    met = meetings.join(left, "q").select("q_ids", "q_vectors", "r_ids", "r_vectors")
+    queries, rows = (d.filter(F.col("embedding").isNotNull() & F.col("vec_id").isNotNull()).select("vec_id", "embedding") for d in (queries, rows))
+    queries = store(queries, "queries")
+    count, wide = queries.agg(F.count(F.lit(1)), F.max(F.size("embedding"))).first()
+    groups = 1 + count * (wide or 0) * 8 // GROUP_BYTES
+    out = None
+    for number in range(groups):
+        asked = queries.filter(F.pmod(F.xxhash64("vec_id"), F.lit(groups)) == number).collect()
+        shared = rows.sparkSession.sparkContext.broadcast(([r[0] for r in asked], _unit([r[1] for r in asked]) if asked else np.zeros((0, 1))))
+        found = rows.mapInArrow(_nearest(shared, k, digits), "query_id long, doc_id long, score double")
+        out = found if out is None else out.unionByName(found)
+    named = out.toDF("vec_id", "nn_id", "score")
+    rank = F.row_number().over(Window.partitionBy("vec_id").orderBy(F.desc("score"), "nn_id"))
+    return named.withColumn("rank", rank).filter(F.col("rank") <= k).select("vec_id", "nn_id", "score", "rank")
+
+
+def _nearest(shared, k: int, digits: int):
+    def run(batches):
+        names, wanted = shared.value
+        best, places = Best(len(names), k), {}
+        for i, q in enumerate(names):
+            places.setdefault(q, []).append(i)
+        for batch in batches:
+            ids, vectors = batch.column(0).to_numpy(), batch.column(1).to_pylist()
+            for at in range(0, len(ids) if names else 0, BLOCK):
+                part = ids[at : at + BLOCK]
+                scores = np.round(wanted @ _unit(vectors[at : at + BLOCK]).T, digits) + 0.0
+                for column, i in enumerate(part.tolist()):
+                    if i in places:
+                        scores[places[i], column] = -np.inf
+                best.add(part, scores)
+        yield best.rows(names)
+
+    return run
+
+
+def mean_pooling(tokens: Column, mask: Column) -> Column:
+    """Mean of the token vectors (array of arrays) whose mask (array of 0 and 1) is 1; none: zeros."""
+    count = F.aggregate(mask, F.lit(0.0), lambda s, m: s + m)
+
+    def mean(i):
+        return F.aggregate(F.zip_with(tokens, mask, lambda t, m: F.get(t, i) * m), F.lit(0.0), lambda s, v: s + v) / F.greatest(count, F.lit(1e-9))
+
+    return F.transform(F.sequence(F.lit(0), F.size(F.get(tokens, F.lit(0))) - 1), mean)
+
+
+def softmax(x: Column, temperature: float = 1.0) -> Column:
+    high = F.array_max(x)
+    raised = F.transform(x, lambda v: F.exp((v - high) / temperature))
+    return let(raised, lambda r: F.transform(r, lambda v: v / F.aggregate(r, F.lit(0.0), lambda s, y: s + y)))
+
 
-    return _best(met, k, digits)
+def normalised(x: Column) -> Column:
+    return let(F.sqrt(F.aggregate(x, F.lit(0.0), lambda s, v: s + v * v)), lambda n: F.transform(x, lambda v: v / F.greatest(n, F.lit(1e-12))))
 
 
-def cluster_tree(rows: DataFrame, leaf: int = 25, most: int = 200, seed: int = 7, levels: int = 4) -> DataFrame:
-    """level, parent, child, embedding: k-means on each level over the centres of the level below.
+def temperature_mix(x: Column, temperature: float | None = None) -> Column:
+    """Mean of the softmax, the softmax at a temperature (without one the softmax again) and the unit vector."""
+    second = softmax(x) if temperature is None else softmax(x, temperature)
+    pairs = F.zip_with(softmax(x), second, lambda a, b: a + b)
+    return F.transform(F.zip_with(pairs, normalised(x), lambda a, b: a + b), lambda v: v / 3)
 
-    Level 0 links clusters (negative numbers of their own) to vec_ids; ends when one level has at most
-    ``leaf`` clusters. k grows with the rows, up to ``most`` a level (k-means costs rows x k).
+
+def universal(rows: DataFrame, prototypes: DataFrame) -> DataFrame:
+    """vec_id, proto, value: the unit vector of cosines to the prototypes (proto, embedding), of which there are few."""
+    met = rows.join(F.broadcast(prototypes.select("proto", F.col("embedding").alias("p")))).select("vec_id", "proto", _cosine(F.col("embedding"), F.col("p")).alias("c"))
+    whole = F.sqrt(F.sum(F.col("c") * F.col("c")).over(Window.partitionBy("vec_id")))
+    return met.select("vec_id", "proto", (F.col("c") / F.greatest(whole, F.lit(1e-12))).alias("value"))
+
+
+def merge_labels(clusters: DataFrame, known: DataFrame, least: int = 2) -> DataFrame:
+    """vec_id, label: a cluster's new members get the label that most of its known members bear, if ``least`` do, else the lowest new id.
+
+    clusters: vec_id, c; known: vec_id, label. Known rows keep their label; ties go to the lower label.
     """
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector, vector_to_array
+    rows = clusters.join(known, "vec_id", "left")
+    counts = rows.filter("label IS NOT NULL").groupBy("c", "label").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least)
+    best = counts.groupBy("c").agg(F.max(F.struct("n", (-F.col("label")).alias("low"))).getField("low").alias("low")).select("c", (-F.col("low")).alias("old"))
+    fresh = rows.filter("label IS NULL").groupBy("c").agg(F.min("vec_id").alias("first"))
+    made = rows.join(best, "c", "left").join(fresh, "c", "left")
+    return made.select("vec_id", F.coalesce("label", "old", "first").alias("label"))
 
-    nodes, made, base = rows.select(F.col("vec_id").alias("child"), F.col("embedding").cast("array<double>").alias("embedding")), None, 0
-    for level in range(levels):
-        nodes = store(nodes, "nodes")
-        n = nodes.count()
-        if n == 0:
-            break
-        k = max(1, min(most, n // leaf))
-        data = nodes.withColumn("features", array_to_vector("embedding"))
-        if k > 1:
-            labelled = KMeans(k=k, seed=seed, maxIter=10).fit(data).transform(data).select("child", "embedding", F.col("prediction").cast("long").alias("c"))
-        else:
-            labelled = nodes.withColumn("c", F.lit(0).cast("long"))
-        links = store(labelled.select(F.lit(level).alias("level"), (-(F.col("c") + 1 + base)).alias("parent"), "child", "embedding"), "links")
-        made = links if made is None else made.unionByName(links)
-        centre = links.select("parent", F.posexplode("embedding").alias("i", "v")).groupBy("parent", "i").agg(F.avg("v").alias("v")).groupBy("parent")
-        nodes = centre.agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "v"))), lambda s: s["v"]).alias("embedding")).select(F.col("parent").alias("child"), "embedding")
-        base += k
-        if k == 1:
+
+def kmeans_batch(rows: DataFrame, k: int, known: DataFrame | None = None, least: int = 2, seed: int = 7) -> DataFrame:
+    """vec_id, label: k-means clusters of the rows, named by ``merge_labels``."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+
+    data = store(rows.filter(F.col("embedding").isNotNull()).select("vec_id", F.col("embedding").cast("array<double>").alias("embedding")), "rows").withColumn("features", array_to_vector("embedding"))
+    found = KMeans(k=k, seed=seed, maxIter=20).fit(data).transform(data).select("vec_id", F.col("prediction").cast("long").alias("c"))
+    if known is None:
+        known = rows.sparkSession.createDataFrame([], "vec_id long, label long")
+    return merge_labels(store(found, "clusters"), known, least)
+
+
+def parents(tree: DataFrame) -> DataFrame:
+    """level, parent, children, top: the clusters of a tree (level, parent, child), highest level first."""
+    top = tree.agg(F.max("level").alias("top_level"))
+    made = tree.groupBy("level", "parent").agg(F.count(F.lit(1)).alias("children")).join(F.broadcast(top))
+    return made.select("level", "parent", "children", (F.col("level") == F.col("top_level")).alias("top")).orderBy(F.desc("level"), "parent")
+
+
+def roots(edges: DataFrame) -> DataFrame:
+    """child, root, depth of every child in a forest (child, parent), by doubling the steps; a cycle ends with an error."""
+    at = store(edges.select("child", F.col("parent").alias("root"), F.lit(1).cast("long").alias("depth")), "roots")
+    for _ in range(60):
+        up = at.select(F.col("child").alias("root"), F.col("root").alias("higher"), F.col("depth").alias("more"))
+        moved = store(at.join(up, "root", "left").select("child", F.coalesce("higher", "root").alias("root"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), F.col("higher").isNotNull().alias("moved")), "roots")
+        at = moved.drop("moved")
+        if moved.filter("moved").isEmpty():
+            return at
+    raise ValueError("the edges hold a cycle")
+
+
+def lloyd(points: np.ndarray, k: int, seed: int, rounds: int = 12) -> np.ndarray:
+    """At most ``k`` centres of ``points`` by k-means from far-apart beginnings; fewer where points repeat."""
+    rng = np.random.default_rng(seed)
+    centres = points[rng.integers(len(points), size=1)]
+    near = ((points - centres[0]) ** 2).sum(axis=1)
+    while len(centres) < k and near.sum() > 1e-12:
+        centres = np.vstack([centres, points[rng.choice(len(points), p=near / near.sum())]])
+        near = np.minimum(near, ((points - centres[-1]) ** 2).sum(axis=1))
+    for _ in range(rounds):
+        own = nearest(points, centres)
+        sums, counts = np.zeros_like(centres), np.bincount(own, minlength=len(centres))
+        np.add.at(sums, own, points)
+        moved = np.where(counts[:, None] > 0, sums / np.maximum(counts, 1)[:, None], centres)
+        if np.allclose(moved, centres):
             break
-    return made if made is not None else rows.sparkSession.createDataFrame([], "level int, parent long, child long, embedding array<double>")
+        centres = moved
+    return centres
+
+
+def nearest(points: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """Number of the nearest centre of each point, by blocks of points."""
+    half = (centres**2).sum(axis=1) / 2
+    parts = [np.argmin(half - points[at : at + 8192] @ centres.T, axis=1) for at in range(0, len(points), 8192)]
+    return np.concatenate(parts) if parts else np.empty(0, np.int64)
+
+
+def cluster_tree(rows: DataFrame, leaf: int = 25, most: int = 200, seed: int = 7, sample: int = 100_000) -> DataFrame:
+    """level, parent, child, embedding: two levels of k-means, ``most`` clusters at the top and in each of them.
+
+    Level 0 links leaf clusters (negative numbers of their own) to vec_ids; level 1 links top clusters to
+    leaf clusters. The number of leaves is rows / ``leaf``, up to ``most`` x ``most``. Centres are fitted on the driver to
+    the rows whose ids hash lowest, about ``sample`` of them; every row is then assigned in its task, without a shuffle. The
+    centres that go to the tasks are bounded (40,000 at ``most`` 200). Rows with a null vector are left out.
+    """
+    ship(rows.sparkSession)
+    schema = "level int, parent long, child long, embedding array<double>"
+    nodes = store(rows.filter(F.col("embedding").isNotNull()).select(F.col("vec_id").alias("child"), F.col("embedding").cast("array<double>").alias("embedding")), "nodes")
+    n = nodes.count()
+    if n == 0:
+        return rows.sparkSession.createDataFrame([], schema)
+    order = F.xxhash64("child", F.lit(seed))
+    some = nodes if n <= sample else nodes.filter(F.pmod(order, F.lit(1 << 30)) < int(sample / n * (1 << 30)))
+    taken = some.orderBy(order, "child").collect() or nodes.limit(1).collect()
+    points = np.array([r[1] for r in taken])
+    want = max(1, n // leaf)
+    top = lloyd(points, min(most, max(1, round(want**0.5))), seed)
+    own = nearest(points, top)
+    parts = []
+    for c in range(len(top)):
+        members = points[own == c]
+        share = min(most, max(1, round(want * len(members) / len(points))))
+        parts.append(lloyd(members, share, seed + 1 + c) if len(members) else top[c : c + 1])
+    first = np.cumsum([0, *map(len, parts)])
+    shared = rows.sparkSession.sparkContext.broadcast((top, parts, first))
+
+    def assign(batches):
+        top, parts, first = shared.value
+        for batch in batches:
+            vectors = np.array(batch.column(1).to_pylist()) if batch.num_rows else np.empty((0, top.shape[1]))
+            groups, leaves = nearest(vectors, top), np.zeros(len(vectors), np.int64)
+            for c in np.unique(groups):
+                leaves[groups == c] = first[c] + nearest(vectors[groups == c], parts[c])
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(vectors), np.int32)), pa.array(-1 - leaves), batch.column(0), batch.column(1)], names=["level", "parent", "child", "embedding"])
+
+    made = store(nodes.mapInArrow(assign, schema), "links")
+    if len(top) == 1:
+        return made
+    leaves = int(first[-1])
+    upper = [(1, -1 - leaves - c, -1 - int(first[c] + i), [float(v) for v in centre]) for c, part in enumerate(parts) for i, centre in enumerate(part)]
+    met = made.select(F.col("parent").alias("child")).distinct()  # a leaf that no row chose is none
+    above = rows.sparkSession.createDataFrame(upper, schema).join(F.broadcast(met), "child", "left_semi").select("level", "parent", "child", "embedding")
+    return made.unionByName(above)
 
 
 def _cosine(a, b):

@@ -52,3 +52,22 @@ def moving_cutoff(rows: DataFrame, key: str, seq: str, score: str, window: int =
     rows = rows.withColumn("cutoff", F.round(F.col("mean") - lower * F.col("sd") if upper is None else F.col("mean") + upper * F.col("sd"), 6))
     fits = F.col(score) >= F.col("cutoff") if upper is None else F.col(score) <= F.col("cutoff")
     return rows.withColumn("keep", F.coalesce(fits, F.lit(True)))
+
+
+def held_levels(rows: DataFrame, key: str, seq: str, level: str) -> DataFrame:
+    """``rows`` with ``held``: levels 0, 1 and 2 with hysteresis. Level 2, once reached, holds through 1 until 0 is met.
+
+    A row in the middle looks back to the last row of the key that is not. That row is sought in
+    buckets of ``seq`` first and then among the buckets' last ones, so no key is one task. Null keys and ``seq`` as in ``look_back``.
+    """
+    rows = store(rows, "levels")
+    bucket, strong, carried = (fresh(rows, n) for n in ("bucket", "strong", "carried"))
+    rows = rows.withColumns({bucket: F.floor(F.col(seq) / BUCKET), strong: F.when(F.col(level) != 1, F.col(level))})
+    lasts = rows.groupBy(key, bucket).agg(F.max_by(F.when(F.col(strong).isNotNull(), F.col(strong)), F.when(F.col(strong).isNotNull(), F.col(seq))).alias("last_strong"))
+    ahead = Window.partitionBy(key).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    lasts = lasts.select(F.col(key).alias("level_key"), F.col(bucket).alias("level_bucket"), F.last("last_strong", ignorenulls=True).over(ahead).alias(carried))
+    met = rows.join(lasts, rows[key].eqNullSafe(lasts["level_key"]) & rows[bucket].eqNullSafe(lasts["level_bucket"])).drop("level_key", "level_bucket")
+    inside = Window.partitionBy(key, bucket).orderBy(seq).rowsBetween(Window.unboundedPreceding, 0)
+    before = F.coalesce(F.last(strong, ignorenulls=True).over(inside), F.col(carried))
+    held = F.when((F.col(level) == 1) & (before == 2), 2).otherwise(F.col(level))
+    return met.withColumn("held", held.cast("long")).drop(bucket, strong, carried)

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from corpusmill.operators import text as X
 from corpusmill.functions.sql import D
+from corpusmill.operators import lexical, ngrams
 from corpusmill.registry import query
-from corpusmill.session import broadcast_if_small, store, table
+from corpusmill.session import _shared_folder, broadcast_if_small, store, table
 
 #: Patterns common to Java and RE2.
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
@@ -60,19 +63,21 @@ def html_links(spark, sf_dir):
     return table(spark, sf_dir, "pages", "page_id", "html").select("page_id", F.size(found).cast("long").alias("links"), F.coalesce(F.get(found, F.lit(0)), F.lit("")).alias("first_link"))
 
 
-#: Hosts that a caller supports and flags: parameters.
-SUPPORTED, FLAGGED_HOSTS = ("example.com", "example.org"), ("ads-track", "casino-win", "adult-x")
+#: Hosts that a caller supports, and labels of hosts of two classes: parameters.
+SUPPORTED, ADULT_HOSTS, GORE_HOSTS = ("example.com", "example.org"), ("adult-x", "casino-win"), ("spam-farm",)
 
 
-@query(f"""SELECT page_id, host, len(p)::BIGINT AS labels, (CASE WHEN len(p) >= 2 AND p[-2] || '.' || p[-1] IN {SUPPORTED} THEN 1 ELSE 0 END)::BIGINT AS supported,
-(CASE WHEN host = '' THEN -1 WHEN len(list_intersect(p, {list(FLAGGED_HOSTS)})) > 0 THEN 1 ELSE 0 END)::BIGINT AS flagged
+@query(f"""SELECT page_id, host, len(p)::BIGINT AS labels, (CASE WHEN len(p) >= 2 AND (p[2] IN {SUPPORTED} OR p[-2] || '.' || p[-1] IN {SUPPORTED}) THEN 1 ELSE 0 END)::BIGINT AS supported,
+(CASE WHEN len(p) < 2 THEN -1 WHEN len(list_intersect(p, {list(ADULT_HOSTS)})) > 0 OR contains(host, 'porn') THEN 1 WHEN len(list_intersect(p, {list(GORE_HOSTS)})) > 0 THEN 2 ELSE 0 END)::BIGINT AS flagged
 FROM (SELECT *, string_split(host, '.') AS p FROM (SELECT page_id, regexp_extract(url, '://([^/?#]*)', 1) AS host FROM pages))""")
 def url_flags(spark, sf_dir):
+    """Supported sites by their second or last two labels; -1 no address, 1 and 2 the classes of hosts, 0 none."""
     host = F.regexp_extract("url", "://([^/?#]*)", 1)
     rows = table(spark, sf_dir, "pages", "page_id", "url").select("page_id", host.alias("host")).withColumn("p", F.split("host", r"\."))
     last = F.array_join(F.slice("p", -2, 2), ".")
-    supported = F.when((F.size("p") >= 2) & last.isin(*SUPPORTED), 1).otherwise(0)
-    flagged = F.when(F.col("host") == "", -1).when(F.arrays_overlap("p", F.array(*map(F.lit, FLAGGED_HOSTS))), 1).otherwise(0)
+    supported = F.when((F.size("p") >= 2) & (last.isin(*SUPPORTED) | F.get("p", F.lit(1)).isin(*SUPPORTED)), 1).otherwise(0)
+    adult, gore = (F.arrays_overlap("p", F.array(*map(F.lit, hosts))) for hosts in (ADULT_HOSTS, GORE_HOSTS))
+    flagged = F.when(F.size("p") < 2, -1).when(adult | F.contains("host", F.lit("porn")), 1).when(gore, 2).otherwise(0)
     return rows.select("page_id", "host", F.size("p").cast("long").alias("labels"), supported.cast("long").alias("supported"), flagged.cast("long").alias("flagged"))
 
 
@@ -82,51 +87,93 @@ def centroids(spark, sf_dir):
     return dims.groupBy("label", F.col("dim").cast("long").alias("dim")).agg(F.round(F.avg(F.col("v").cast("double")), 4).alias("value"))
 
 
-QUERIES = ("the of that", "de la que", "der die und")
+BM25 = f"""WITH t AS (SELECT doc_id, lower(unnest(w)) AS term FROM {D}), tf AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY ALL),
+dl AS (SELECT doc_id, sum(tf) AS len FROM tf GROUP BY doc_id), st AS (SELECT count(*)::DOUBLE AS n, avg(len) AS al FROM dl),
+q AS (SELECT doc_id AS query_id, term FROM tf WHERE doc_id % 100 = 0), df AS (SELECT term, count(*)::DOUBLE AS df FROM tf GROUP BY term),
+s AS (SELECT query_id, d.doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / al))) AS score
+FROM q JOIN tf d ON d.term = q.term JOIN df ON df.term = q.term JOIN dl ON dl.doc_id = d.doc_id, st WHERE query_id <> d.doc_id GROUP BY ALL)
+SELECT query_id::BIGINT AS query_id, doc_id, rank, score FROM (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 4) DESC, doc_id)::INT AS rank, round(score, 4) AS score FROM s) WHERE rank <= 10"""
+
 
+def _asked(docs):
+    """The stated query set: every document whose id is divisible by 100."""
+    return docs.filter("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), "text")
 
-@query(f"""WITH t AS (SELECT doc_id, lower(unnest(w)) AS term FROM {D}), tf AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY ALL),
-dl AS (SELECT doc_id, sum(tf) AS len FROM tf GROUP BY doc_id), st AS (SELECT count(*)::DOUBLE AS n, avg(len) AS al FROM dl),
-q AS (SELECT * FROM (VALUES {", ".join(f"({i}, '{t}')" for i, s in enumerate(QUERIES) for t in s.split())}) v(query_id, term)),
-df AS (SELECT term, count(*)::DOUBLE AS df FROM tf GROUP BY term),
-s AS (SELECT query_id, doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / al))) AS score
-FROM q JOIN tf USING (term) JOIN df USING (term) JOIN dl USING (doc_id), st GROUP BY ALL)
-SELECT query_id::BIGINT AS query_id, doc_id, rank, score FROM (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 4) DESC, doc_id)::INT AS rank, round(score, 4) AS score FROM s) WHERE rank <= 10""")
+
+@query(BM25)
 def bm25_topk(spark, sf_dir):
-    """BM25 with k1 = 1.2 and b = 0.75; only the queries' terms are exploded and shuffled."""
-    terms = sorted({t for q in QUERIES for t in q.split()})
-    rows = table(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", X.words(F.lower("text")).alias("w"))
-    rows = rows.filter(F.size("w") > 0).select("doc_id", F.size("w").alias("len"), F.filter("w", lambda x: x.isin(terms)).alias("hits"))
-    rows = store(rows, "postings")
-    n, average = rows.agg(F.count(F.lit(1)), F.avg("len")).first()
-    tf = rows.select("doc_id", "len", F.explode("hits").alias("term")).groupBy("doc_id", "len", "term").agg(F.count(F.lit(1)).alias("tf"))
-    df = tf.groupBy("term").agg(F.count(F.lit(1)).cast("double").alias("df"))
-    asked = spark.createDataFrame([(i, t) for i, q in enumerate(QUERIES) for t in q.split()], "query_id long, term string")
-    idf = F.log(1 + (F.lit(float(n or 0)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * 2.2 / (F.col("tf") + 1.2 * (0.25 + 0.75 * F.col("len") / F.lit(average or 1.0)))
-    scored = tf.join(F.broadcast(df.join(asked, "term")), "term").groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 4).alias("score"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))
-    return scored.withColumn("rank", rank).filter("rank <= 10")
-
-
-def _ngram_sql(n: int) -> str:
-    return f"SELECT {n}::BIGINT AS n, g AS ngram FROM (SELECT unnest(list_transform(range(1, greatest(len(w) - {n - 2}, 1)), lambda i: array_to_string(w[i:i+{n - 1}], ' '))) AS g FROM {D})"
-
-
-@query(f"SELECT n, ngram, count(*)::BIGINT AS cnt FROM ({' UNION ALL '.join(_ngram_sql(n) for n in (1, 2, 3))}) GROUP BY n, ngram HAVING count(*) >= 5")
+    """BM25 with k1 = 1.2 and b = 0.75: queries are the texts of ids divisible by 100, against all documents."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    return lexical.bm25(docs, _asked(docs))
+
+
+@query(BM25)
+def indexed_search(spark, sf_dir):
+    """The same from an index written to a folder and read again."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    path = f"{_shared_folder(spark)}/index-{uuid.uuid4().hex}"
+    lexical.save_index(docs, path, buckets=16)
+    return lexical.search_index(spark, path, _asked(docs))
+
+
+def _ngram_sql(n: int, group: str = "") -> str:
+    return f"SELECT {group}{n}::BIGINT AS n, g AS ngram FROM (SELECT {group}unnest(list_transform(range(1, greatest(len(w) - {n - 2}, 1)), lambda i: array_to_string(w[i:i+{n - 1}], ' '))) AS g FROM {D})"
+
+
+NGRAMS = f"SELECT n, ngram, count(*)::BIGINT AS cnt FROM ({' UNION ALL '.join(_ngram_sql(n) for n in (1, 2, 3, 4, 5))}) GROUP BY n, ngram HAVING count(*) >= 5"
+
+
+@query(NGRAMS)
 def ngram_model_counts(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents", "text").select(F.explode(F.array(X.words(F.col("text")))).alias("w"))
-    grams = F.concat(*(F.transform(X.ngrams(F.col("w"), n, drop_last=False), _tagged(n)) for n in (1, 2, 3)))
-    found = rows.select(F.explode(grams).alias("g")).groupBy("g.n", "g.ngram").agg(F.count(F.lit(1)).alias("cnt"))
-    return found.filter("cnt >= 5")
+    """N-grams of one to five words met at least five times."""
+    return ngrams.ngram_counts(table(spark, sf_dir, "documents", "text"))
+
+
+@query(f"SELECT split_part(ngram, ' ', 1) AS first, min(n) AS shortest, max(n) AS longest FROM ({NGRAMS}) WHERE n >= 2 AND cnt >= 20 GROUP BY first")
+def compound_lengths(spark, sf_dir):
+    return ngrams.compound_lengths(ngrams.ngram_counts(table(spark, sf_dir, "documents", "text")))
+
+
+@query()
+def compound_tokenize(spark, sf_dir):
+    """Texts with frequent n-grams joined, longest first (sequential rule, tested against brute force)."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    return ngrams.compound_tokenize(docs, store(ngrams.ngram_counts(docs, least=20), "compounds"))
+
+
+@query(f"SELECT n, ngram, min(cnt) AS weight, count(*)::BIGINT AS langs FROM (SELECT lang, n, ngram, count(*)::BIGINT AS cnt FROM ({' UNION ALL '.join(_ngram_sql(n, 'lang, ') for n in (1, 2))}) GROUP BY lang, n, ngram HAVING count(*) >= 5) GROUP BY n, ngram")
+def consolidated_weights(spark, sf_dir):
+    """Lowest weight of each n-gram over the languages' counts."""
+    counts = ngrams.ngram_counts(table(spark, sf_dir, "documents", "lang", "text"), most=2, group="lang")
+    return counts.groupBy("n", "ngram").agg(F.min("cnt").alias("weight"), F.count(F.lit(1)).alias("langs"))
+
+
+_TOKENS = f"SELECT term AS token, 1.0 / n AS weight, length(term) AS cluster FROM (SELECT term, count(*) AS n FROM (SELECT unnest(w) AS term FROM {D}) GROUP BY term)"
+
+
+@query(f"""WITH t AS (SELECT *, substr(token, 1, 1) <> lower(substr(token, 1, 1)) AS upper FROM ({_TOKENS}))
+SELECT token, first_value(token) OVER (PARTITION BY cluster, upper ORDER BY weight, token) AS parent FROM t""")
+def synonym_parents(spark, sf_dir):
+    """Parents of tokens; here a token's length stands for its cluster, the reverse of its count for its weight."""
+    words = table(spark, sf_dir, "documents", "text").select(F.explode(X.words(F.col("text"))).alias("token")).groupBy("token").agg((F.lit(1.0) / F.count(F.lit(1))).alias("weight"))
+    return ngrams.synonym_parents(words.withColumn("cluster", F.length("token")))
 
 
-def _tagged(n: int):
-    return lambda g: F.struct(F.lit(n).cast("long").alias("n"), g.alias("ngram"))
+@query(f"SELECT term, row_number() OVER (ORDER BY n DESC, term) - 1 AS idx FROM (SELECT term, count(*) AS n FROM (SELECT unnest(w) AS term FROM {D}) GROUP BY term HAVING count(*) >= 5)")
+def vocabulary_index(spark, sf_dir):
+    """Numbers of words by falling count: ranges of counts are numbered apart, so no task sorts all words."""
+    words = table(spark, sf_dir, "documents", "text").select(F.explode(X.words(F.col("text"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n")).filter("n >= 5")
+    words = store(words.withColumn("part", F.floor(F.log2("n") * 8).cast("int")), "words")
+    sizes = words.groupBy("part").agg(F.count(F.lit(1)).alias("size"))  # some hundred rows
+    before = Window.orderBy(F.desc("part")).rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select("part", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("before"))
+    rank = F.row_number().over(Window.partitionBy("part").orderBy(F.desc("n"), "term")) - 1
+    return words.join(F.broadcast(sizes), "part").select("term", (rank + F.col("before")).cast("long").alias("idx"))
 
 
 @query(f"SELECT lang, term, rank, cnt FROM (SELECT lang, term, count(*)::BIGINT AS cnt, row_number() OVER (PARTITION BY lang ORDER BY count(*) DESC, term)::INT AS rank FROM (SELECT lang, lower(unnest(w)) AS term FROM {D}) WHERE length(term) <= 10 GROUP BY lang, term) WHERE rank <= 75")
 def learn_stopwords(spark, sf_dir):
+    """The 75 most frequent words of at most ten characters (the rule's own bound) in each language."""
     terms = table(spark, sf_dir, "documents", "lang", "text").select("lang", F.explode(X.words(F.lower("text"))).alias("term")).filter(F.length("term") <= 10)
     counts = terms.groupBy("lang", "term").agg(F.count(F.lit(1)).alias("cnt"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("cnt"), "term"))

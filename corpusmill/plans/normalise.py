@@ -50,7 +50,10 @@ def _digest(spark, sf_dir, column):
 
 #: Texts with the marks that the driver's texts hardly hold, so that rules meet something.
 _MARKED = "text || ' « a » (b) 1 2 % — “c”, ok. It’s 3．「d」 … end. . next!. x`s'"
-_MARKED_COLUMN = F.concat(F.col("text"), F.lit(_MARKED.split("|| ")[1].strip("'")))
+
+
+def _marked():
+    return F.concat(F.col("text"), F.lit(_MARKED.split("|| ")[1].strip("'")))
 
 
 def _sql(expression: str) -> str:
@@ -59,17 +62,17 @@ def _sql(expression: str) -> str:
 
 @query(_sql(_punct_sql("text")))
 def unicode_punct_norm(spark, sf_dir):
-    return _digest(spark, sf_dir, N.unicode_punct(_MARKED_COLUMN))
+    return _digest(spark, sf_dir, N.unicode_punct(_marked()))
 
 
 @query(_sql(f"translate(text, {quoted(''.join(N.PUNCT))}, '')"))
 def unicode_punct_remove(spark, sf_dir):
-    return _digest(spark, sf_dir, N.unicode_punct(_MARKED_COLUMN, remove=True))
+    return _digest(spark, sf_dir, N.unicode_punct(_marked(), remove=True))
 
 
 @query(_sql(f"regexp_replace(text, '{_CONTROL}', '', 'g')"))
 def non_printing(spark, sf_dir):
-    return _digest(spark, sf_dir, N.non_printing(_MARKED_COLUMN))
+    return _digest(spark, sf_dir, N.non_printing(_marked()))
 
 
 _LM = f"regexp_replace({_punct_sql(f'''regexp_replace(lower({_strip_sql('text')}), '{chr(92)}p{{Nd}}', '0', 'g')''')}, '{_CONTROL}', '', 'g')"
@@ -77,7 +80,7 @@ _LM = f"regexp_replace({_punct_sql(f'''regexp_replace(lower({_strip_sql('text')}
 
 @query(_sql(_LM))
 def lm_normalize(spark, sf_dir):
-    return _digest(spark, sf_dir, N.lm_normalize(_MARKED_COLUMN))
+    return _digest(spark, sf_dir, N.lm_normalize(_marked()))
 
 
 @query("SELECT doc_id, md5(strip_accents(text)) AS digest FROM documents")
@@ -92,17 +95,17 @@ _QUOTES = f"CASE WHEN lang = 'en' THEN {_rules_sql('s', N.SPACING_EN)} WHEN lang
 @query(rf"""SELECT doc_id, md5(CASE WHEN lang IN {N.COMMA} THEN regexp_replace(q, '(\d) (\d)', '\1,\2', 'g') ELSE regexp_replace(q, '(\d) (\d)', '\1.\2', 'g') END) AS digest FROM (
 SELECT doc_id, lang, {_QUOTES} AS q FROM (SELECT doc_id, lang, {_SPACED} AS s FROM (SELECT doc_id, lang, {_MARKED} AS text FROM documents)))""")
 def spacing_for_tok(spark, sf_dir):
-    return _docs(spark, sf_dir).select("doc_id", F.md5(N.spacing_for_tok(_MARKED_COLUMN, F.col("lang")).cast("binary")).alias("digest"))
+    return _docs(spark, sf_dir).select("doc_id", F.md5(N.spacing_for_tok(_marked(), F.col("lang")).cast("binary")).alias("digest"))
 
 
 @query(_sql(replace_sql("text", N.SENTENCE_ENDS)))
 def norm_sentences(spark, sf_dir):
-    return _digest(spark, sf_dir, N.norm_sentences(_MARKED_COLUMN))
+    return _digest(spark, sf_dir, N.norm_sentences(_marked()))
 
 
 @query(_sql(_collapse_sql(replace_sql("text", N.PSEUDO_ENDS))))
 def clean_pseudo_punct(spark, sf_dir):
-    return _digest(spark, sf_dir, N.clean_pseudo_punct(_MARKED_COLUMN))
+    return _digest(spark, sf_dir, N.clean_pseudo_punct(_marked()))
 
 
 def _elements_sql(text: str) -> str:

@@ -89,6 +89,7 @@ def store(df: DataFrame, name: str = "part", batch: int | None = None) -> DataFr
     Arrow batch on the way, for rows that may be very long.
     """
     path = f"{_shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    _stored.append(path)
     with batches_of(df.sparkSession, batch):
         df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
@@ -96,6 +97,18 @@ def store(df: DataFrame, name: str = "part", batch: int | None = None) -> DataFr
 
 cut = store
 
+#: Folders written by ``store`` since the last ``release``.
+_stored: list[str] = []
+
+
+def release(spark: SparkSession) -> int:
+    """Deletes what ``store`` wrote in this process; results that still read it must have been written before. Gives the number of folders."""
+    context, gone = spark.sparkContext, 0
+    while _stored:
+        path = context._jvm.org.apache.hadoop.fs.Path(_stored.pop())
+        gone += path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+    return gone
+
 
 def spread(df: DataFrame) -> DataFrame:
     """Deal the rows of a scan with fewer splits than cores to all cores."""

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,9 +38,44 @@ def sessions(events: DataFrame, gap: str = "30 minutes", late: str | None = "2 h
     return made.select("user_id", F.col("w.start").cast("timestamp_ntz").alias("session_start"), F.col("w.end").cast("timestamp_ntz").alias("session_end"), "n")
 
 
-def first_of_each_text(docs: DataFrame) -> DataFrame:
-    """One document of each text; state is one hash a text (add a watermark column to bound it)."""
-    return docs.withColumn("_h", F.sha2(F.col("text").cast("binary"), 256)).dropDuplicates(["_h"]).drop("_h")
+def first_of_each_text(docs: DataFrame, at: str | None = None, late: str = "1 day") -> DataFrame:
+    """One document of each text (null texts are one text).
+
+    State is one hash a text. With a time column ``at`` it is bounded: a text is forgotten ``late``
+    after it was last met, so a copy that comes later passes again.
+    """
+    rows = docs.withColumn("text_hash", F.coalesce(F.sha2(F.col("text").cast("binary"), 256), F.lit("null")))
+    if at is None:
+        return rows.dropDuplicates(["text_hash"]).drop("text_hash")
+    return rows.withWatermark(at, late).dropDuplicatesWithinWatermark(["text_hash"]).drop("text_hash")
+
+
+def rolling(old: list[float], new: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and sample deviation of the last ``window`` values at each of ``new``, itself included; one value has no deviation."""
+    every = np.concatenate([np.asarray(old, float), new])
+    means, sds = np.empty(len(new)), np.empty(len(new))
+    for i in range(len(new)):
+        frame = every[max(0, len(old) + i + 1 - window) : len(old) + i + 1]
+        means[i] = frame.mean()
+        sds[i] = frame.std(ddof=1) if len(frame) > 1 else np.nan
+    return means, sds
+
+
+def _moving(scores: DataFrame, key: str, seq: str, value: str, window: int, columns: str, judge: Callable) -> DataFrame:
+    """key, seq, value and what ``judge`` (values, means, deviations) gives; state of a key: ``window`` values."""
+
+    def step(group: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(list(chunks)).sort_values(seq, kind="stable")
+        old = list(state.get[0]) if state.exists else []
+        values = rows[value].to_numpy(float)
+        means, sds = rolling(old, values, window)
+        state.update(((old + values.tolist())[-window:],))
+        yield pd.DataFrame({key: group[0], seq: rows[seq].to_numpy(), value: values, **judge(values, means, sds)})
+
+    rows = scores.select(key, seq, value)
+    names = {f.name: f.dataType.simpleString() for f in rows.schema}
+    schema = f"{key} {names[key]}, {seq} {names[seq]}, {value} double, {columns}"
+    return rows.groupBy(key).applyInPandasWithState(step, schema, "last array<double>", "append", GroupStateTimeout.NoTimeout)
 
 
 def moving_cutoffs(scores: DataFrame, window: int = 500, lower: float = 2.0) -> DataFrame:
@@ -49,19 +85,31 @@ def moving_cutoffs(scores: DataFrame, window: int = 500, lower: float = 2.0) ->
     language's sequence is one task by definition; the batch form splits it (``operators.windows``).
     """
 
-    def step(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(chunks)).sort_values("doc_id", kind="stable")
-        old = list(state.get[0]) if state.exists else []
-        every = pd.Series(old + rows["score"].tolist(), dtype=float)
-        frame = every.rolling(window, min_periods=1)
-        cutoff = (frame.mean() - lower * frame.std()).iloc[len(old) :].round(6)
-        state.update((every.tail(window).tolist(),))
-        made = pd.DataFrame({"lang": key[0], "doc_id": rows["doc_id"].to_numpy(), "score": rows["score"].to_numpy(), "cutoff": cutoff.to_numpy()})
-        made["keep"] = made["cutoff"].isna() | (made["score"] >= made["cutoff"])
-        yield made
-
-    rows = scores.select("lang", "doc_id", "score")
-    return rows.groupBy("lang").applyInPandasWithState(step, "lang string, doc_id long, score double, cutoff double, keep boolean", "last array<double>", "append", GroupStateTimeout.NoTimeout)
+    def judge(values, means, sds):
+        cutoff = np.round(means - lower * sds, 6)
+        return {"cutoff": cutoff, "keep": np.isnan(cutoff) | (values >= cutoff)}
+
+    return _moving(scores, "lang", "doc_id", "score", window, "cutoff double, keep boolean", judge)
+
+
+def feature_levels(values: DataFrame, key: str, seq: str, value: str, window: int = 100, band: float = 0.5) -> DataFrame:
+    """key, seq, value, level: 0, 1 or 2 against the last ``window`` values of the key, as ``moving_cutoffs`` keeps them."""
+
+    def judge(found, means, sds):
+        means, sds = np.round(means, 6), np.round(sds, 6)
+        return {"level": np.where(np.isnan(sds), 1, np.where(found < means - band * sds, 0, np.where(found > means + band * sds, 2, 1)))}
+
+    return _moving(values, key, seq, value, window, "level long", judge)
+
+
+def running_counts(stream: DataFrame, by: list[str], path: str, every: str | None = None):
+    """A query that keeps the counts by ``by`` in a folder, replaced with each batch; it returns when all that is there is read."""
+
+    def put(batch: DataFrame, _: int) -> None:
+        batch.coalesce(1).write.mode("overwrite").json(path)
+
+    writer = stream.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).writeStream.outputMode("complete").option("checkpointLocation", f"{path}-state").foreachBatch(put)
+    return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
 
 
 def run_available(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:

@@ -39,20 +39,34 @@ def test_elements_of_a_page():
     <nav><ul><li>One</li><li>Two</li></ul></nav><img src="/a.png" width="50"><img src="/b.png" width=200 alt="cat">
     <iframe src="f.html"></iframe><video><source src="v.mp4"></video><code>x = 1</code><a href="/p">Privacy policy</a><a href="/q">other</a>
     <form><input name="a" value="1"><input name="b" type="hidden" value="2"><input name="c"></form>
-    <table><tr><th>h</th></tr><tr><td>1<table><tr><td>in</td></tr></table></td></tr></table><details>more"""
+    <table><tr><td>1<table><tr><td>in</td><td>2</td></tr><tr><td>3</td></tr></table></td></tr></table><details>more"""
     found = pages.elements(html, "http://e.org/d/")
     assert found == [
         ("title", 0, "A & B"), ("meta", 0, "k: v"), ("nav", 0, "One | Two"), ("img", 0, "http://e.org/b.png [cat]"),
         ("iframe", 0, "http://e.org/d/f.html"), ("video", 0, "http://e.org/d/v.mp4"), ("code", 0, "x = 1"),
-        ("rights_link", 0, "Privacy policy:http://e.org/p"), ("inputs", 0, "a:1; b; c:"), ("table", 0, "in"), ("table", 1, "h\n1"), ("summary", 0, "more"),
+        ("rights_link", 0, "Privacy policy:http://e.org/p"), ("inputs", 0, "a:1; b; c:"), ("table", 0, "in | 2\n3"), ("summary", 0, "more"),
     ]
     assert pages.elements(None, None) == [] and pages.elements("plain", "x") == []
 
 
+def test_page_text_with_marks(spark):
+    html = """<head><title>Big News</title><meta name=a content=b></head><body><h1>Big News</h1><nav>Home</nav><p>First part</p><p>Done.</p><img src=/x.png alt=pic>
+    <table><tr><th>a</th><th>b</th></tr><tr><td>1</td><td>2</td></tr><tr><td>3</td><td>4</td></tr><tr><td>5</td><td>6</td></tr></table><map><area alt=North href=/n></map></body>"""
+    rows = [(1, "http://e.org/", html), (2, "http://e.org/", "<p>only text</p>"), (3, None, None), (4, "u", "<nav>only nav</nav>")]
+    made = pages.page_records(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    got = {r.page_id: r for r in made.collect()}
+    assert got[1].title == "Big News" and got[1].meta == "a: b" and got[1].reason is None
+    assert got[1].text == "###title###0###. ###nav###0### First part. Done. ###img###0### ###table###0### ###area###0###"
+    assert [(e["kind"], e["val"]) for e in got[1].elements][-2:] == [("table", "a | b\n---\n1 | 2\n3 | 4\n5 | 6"), ("area", "North:http://e.org/n")]
+    assert (got[2].reason, got[3].reason, got[4].reason) == ("no element", "no element", "no text") and got[2].text == "only text."
+    places = {r.element_id: (r.position, r.rel_position) for r in pages.positions(made.filter("page_id = 1")).collect()}
+    assert places["###title###0###"] == (0, 0.0) and places["###nav###0###"][0] == got[1].text.index("###nav") and "###meta###0###" not in places
+
+
 def test_lines_and_spans(spark):
     df = spark.createDataFrame([(1, "ab\n\ncd"), (2, ""), (3, None), (4, "One two. Three four! Five")], "doc_id long, text string")
     assert sorted(tuple(r) for r in spans.lines(df.filter("doc_id < 4")).collect()) == [(1, 0, 0, 0.0, "ab"), (1, 2, 4, round(4 / 6, 6), "cd")]
-    assert sorted(tuple(r) for r in spans.consolidate(df.filter("doc_id > 1"), 10).collect()) == [(4, 0, "One two. Three four!"), (4, 1, "Five")]
+    assert sorted(tuple(r) for r in spans.consolidate(df.filter("doc_id > 1"), 10).collect()) == [(4, 0, 0, "One two. Three four!"), (4, 1, 20, "Five")]
 
 
 def test_perplexity_by_hand(spark):
