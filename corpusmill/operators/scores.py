@@ -9,12 +9,14 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Callable, Collection, Mapping, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusmill.functions.arrow import map_rows
 from corpusmill.functions.lexicon import CJK_LANGS, JUNK, STRIP
+from corpusmill.session import ship, store
 
 _NO_JUNK = str.maketrans("", "", JUNK)
 
@@ -136,13 +138,32 @@ def flagged_terms(docs: DataFrame, labels: DataFrame, least: int = 3, times: int
 
     All labelled rows count. Words are lower case, without marks at their ends.
     """
-    bare = F.filter(F.array_distinct(F.transform(F.split(F.lower("text"), r"\s+"), lambda w: F.btrim(w, F.lit(STRIP)))), lambda w: w != "")
     known = labels.filter("toxic IN (0, 1)").select("doc_id", F.col("toxic").cast("long").alias("toxic"))
-    rows = docs.select("doc_id", "lang", "text").join(known, "doc_id").select("lang", "toxic", bare.alias("terms"))
-    totals = rows.groupBy("lang").agg(F.sum("toxic").alias("all_toxic"), F.sum(1 - F.col("toxic")).alias("all_clean"))
-    counts = rows.select("lang", "toxic", F.explode("terms").alias("term")).groupBy("lang", "term").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c"))
-    # one row a language
-    met = counts.join(F.broadcast(totals), counts["lang"].eqNullSafe(totals["lang"])).drop(totals["lang"])
+    rows = docs.select("doc_id", "lang", "text").join(known, "doc_id").select("lang", "toxic", "text")
+    ship(rows.sparkSession)
+
+    def run(batches):
+        counts: dict[tuple, list[int]] = {}
+        for batch in batches:
+            for lang, toxic, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                words = {w.strip(STRIP) for w in text.lower().split()} - {""} if text else ()
+                for word in ("\n", *words):  # a line end is no word: it counts the texts
+                    counts.setdefault((lang, word), [0, 0])[toxic] += 1
+            if len(counts) > 300_000:
+                yield flush(counts)
+                counts = {}
+        if counts:
+            yield flush(counts)
+
+    def flush(counts):
+        columns = [[k[0] for k in counts], [k[1] for k in counts], [v[1] for v in counts.values()], [v[0] for v in counts.values()]]
+        kinds = (pa.string(), pa.string(), pa.int64(), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["lang", "term", "t", "c"])
+
+    counts = rows.mapInArrow(run, "lang string, term string, t long, c long").groupBy("lang", "term").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
+    counts = store(counts.filter(f"t >= {least} OR term = '\\n'"), "terms")
+    totals = counts.filter("term = '\\n'").select(F.col("lang").alias("of"), F.col("t").alias("all_toxic"), F.col("c").alias("all_clean"))  # one row a language
+    met = counts.filter("term <> '\\n'").join(F.broadcast(totals), F.col("lang").eqNullSafe(F.col("of")))
     return met.filter(f"t >= {least} AND t * all_clean > {times} * c * all_toxic").select("lang", "term")
 
 
