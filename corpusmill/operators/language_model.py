@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.functions.expr import let
-from corpusmill.operators import text as X
-from corpusmill.session import broadcast_if_small, store
+from corpusmill.session import broadcast_if_small, ship, spread, store
 
 
 #: The same in SQL; D has doc_id and the words w.
@@ -17,9 +18,30 @@ v AS (SELECT count(*) AS v FROM fa) SELECT doc_id, round(exp(-sum(n * ln((c_ab +
 
 
 def bigram_counts(docs: DataFrame) -> DataFrame:
-    """doc_id, a, b, n: how often word ``b`` follows ``a`` in each text; counted before any join."""
-    pairs = let(X.words(F.col("text")), lambda w: F.transform(F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0))), lambda a, i: F.struct(a.alias("a"), F.get(w, i + 1).alias("b"))))
-    return docs.select("doc_id", F.explode(pairs).alias("p")).groupBy("doc_id", "p.a", "p.b").agg(F.count(F.lit(1)).alias("n"))
+    """doc_id, a, b, n: how often word ``b`` follows ``a`` in each text; counted in the row, before any shuffle."""
+    ship(docs.sparkSession)
+
+    def run(batches):
+        for batch in batches:
+            ids, firsts, seconds, counts = [], [], [], []
+            for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                words = text.split() if text else []
+                pairs = Counter(zip(words, words[1:], strict=False))
+                ids += [i] * len(pairs)
+                firsts += [a for a, _ in pairs]
+                seconds += [b for _, b in pairs]
+                counts += pairs.values()
+                if len(ids) > 100_000:
+                    yield _rows(ids, firsts, seconds, counts)
+                    ids, firsts, seconds, counts = [], [], [], []
+            yield _rows(ids, firsts, seconds, counts)
+
+    return spread(docs.select("doc_id", "text")).mapInArrow(run, "doc_id long, a string, b string, n long")
+
+
+def _rows(ids: list, firsts: list, seconds: list, counts: list) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.string(), pa.string(), pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip((ids, firsts, seconds, counts), kinds, strict=True)], names=["doc_id", "a", "b", "n"])
 
 
 def perplexity(docs: DataFrame) -> DataFrame:
