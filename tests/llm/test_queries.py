@@ -52,7 +52,7 @@ def tables(spark, tmp_path_factory):
     long = " ".join(rng.choice(words["aa"]) for _ in range(30_000))
     odd = [
         (900, None, None, None, None, None, None, None), (901, "", "aa", "s1", 0, "x", "y", "z"), (902, " \n ", "bb", None, 3, "x", "y", "z"), (903, "½ ²", "aa", "s1", 3, "x", "y", "z"),
-        (904, long, "aa", "s0", len(long), "x", "y", "z"), (905, "w" * 20_000, "bb", "s0", 20_000, "x", "y", "z"), (0, rows[0][1], "aa", "s0", 1, "x", "y", "z"),
+        (904, long, "aa", "s0", len(long), "x", "y", "z"), (905, "w" * 20_000, None, "s0", 20_000, "x", "y", "z"), (0, rows[0][1], rows[0][2], "s0", 1, "x", "y", "z"),
         (1, "Another text of a repeated id, with words of its own.", "aa", "s0", 1, "x", "y", "z"), (None, rows[4][1], "bb", "s2", 1, "x", "y", "z"), (None, rows[6][1], "bb", "s2", 1, "x", "y", "z"),
     ]
     folder = str(tmp_path_factory.mktemp("tables"))
