@@ -133,7 +133,7 @@ def banned_ratio(flagged: Lexicon, banned: Lexicon) -> Score:
     return ratio
 
 
-def flagged_terms(docs: DataFrame, labels: DataFrame, least: int = 3, times: int = 20) -> DataFrame:
+def flagged_terms(docs: DataFrame, labels: DataFrame, least: int = 3, times: int = 100) -> DataFrame:
     """lang, term: words of toxic texts, met in ``least`` of a language's at least and ``times`` as often as in its others.
 
     All labelled rows count. Words are lower case, without marks at their ends.

@@ -35,7 +35,7 @@ _KNOWN = "(VALUES " + ", ".join(f"({quoted(k)}, {quoted(t)})" for k, ts in FLAGG
 LEARNED = f"""labelled AS (SELECT doc_id, lang, toxic, unnest(list_distinct({BARE})) AS term FROM documents JOIN labels USING (doc_id) WHERE toxic IN (0, 1)),
 totals AS (SELECT lang, sum(toxic) AS all_toxic, sum(1 - toxic) AS all_clean FROM documents JOIN labels USING (doc_id) WHERE toxic IN (0, 1) GROUP BY lang),
 learned AS (SELECT l.lang, l.term FROM labelled l JOIN totals t ON l.lang IS NOT DISTINCT FROM t.lang GROUP BY l.lang, l.term, all_toxic, all_clean
-HAVING sum(toxic) >= 3 AND sum(toxic) * all_clean > 20 * sum(1 - toxic) * all_toxic)"""
+HAVING sum(toxic) >= 3 AND sum(toxic) * all_clean > 100 * sum(1 - toxic) * all_toxic)"""
 FLAGS = f"""{LEARNED}, terms AS (SELECT lang, term FROM learned UNION SELECT lang, term FROM {_KNOWN}),
 bare AS (SELECT doc_id, lang, text, {BARE} AS b FROM documents), units AS (SELECT doc_id, lang, lower(unnest(b)) AS term FROM bare),
 flags AS (SELECT d.doc_id, d.lang, CASE WHEN len(b) = 0 THEN 0.0 ELSE round(coalesce(n, 0)::DOUBLE / len(b), 6) END AS flagged FROM bare d LEFT JOIN
