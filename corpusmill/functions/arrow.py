@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -12,6 +12,16 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from corpusmill.session import ship, spread
 
 
+#: Rows whose texts are Python strings at once.
+PART = 1024
+
+
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for start in range(0, max(1, batch.num_rows), PART):
+            yield batch.slice(start, PART)
+
+
 def map_rows(df: DataFrame, columns: Sequence[str], fields: Sequence[tuple[str, T.DataType]], setup: Callable[[], Callable], keep: Sequence[str] | None = None) -> DataFrame:
     """The columns ``keep`` (all by default) of ``df`` and ``fields``, computed batch by batch from ``columns``.
 
@@ -28,7 +38,7 @@ def map_rows(df: DataFrame, columns: Sequence[str], fields: Sequence[tuple[str,
 
     def run(batches):
         f = setup()
-        for batch in batches:
+        for batch in _parts(batches):
             made = list(zip(*(f(*row) for row in zip(*(batch.column(i).to_pylist() for i in read), strict=True)), strict=True)) or [()] * len(kinds)
             added = [pa.array(values, kind) for values, kind in zip(made, kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in held), *added], names=arrow.names)
@@ -46,7 +56,7 @@ def explode_rows(df: DataFrame, keep: str, columns: Sequence[str], fields: Seque
 
     def run(batches):
         f = setup()
-        for batch in batches:
+        for batch in _parts(batches):
             ids, out = batch.column(0).to_pylist(), []
             for i, row in zip(ids, zip(*(batch.column(c).to_pylist() for c in read), strict=True), strict=True):
                 out += [(i, *made) for made in f(*row)]

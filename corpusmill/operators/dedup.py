@@ -2,13 +2,14 @@
 
 Null texts are equal to each other and differ from the empty one; as SimHash, sentences and words
 they have nothing. Rows that repeat an id are one document to the operators that look for what stood
-before: what they share with each other does not count as a repeat.
+before: what they share with each other does not count as a repeat. Rows without an id come after all others.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import struct
 from collections.abc import Callable
 from itertools import combinations
 
@@ -148,21 +149,47 @@ def shingle_counts(docs: DataFrame, size: int = 5) -> DataFrame:
     return made.select(F.lower(F.hex("shingle")).alias("shingle"), "docs", "n")
 
 
+#: A run's place, its 128-bit hash in two halves, and whether the document has it before.
+_RUN = [("pos", T.IntegerType()), ("h1", T.LongType()), ("h2", T.LongType()), ("rep", T.BooleanType())]
+
+
+def _marked(found: list[tuple[int, bytes]]) -> list[tuple[int, int, int, bool]]:
+    seen, out = set(), []
+    for pos, digest in found:
+        out.append((pos, *struct.unpack("<qq", digest), digest in seen))
+        seen.add(digest)
+    return out
+
+
+def _shingle_runs(docs: DataFrame, size: int, parts: Parts) -> DataFrame:
+    """doc_id and the fields of ``_RUN`` of the runs that ``shingles`` has."""
+
+    def setup():
+        def run(text):
+            found = parts(text) if text else []
+            return _marked([(i, hashlib.md5(_DIGIT.sub("1", " ".join(found[i : i + size])).encode("utf-8", "surrogatepass")).digest()) for i in range(len(found) - size)])
+
+        return run
+
+    return store(explode_rows(docs, "doc_id", ["text"], _RUN, setup), "runs")
+
+
 def _again(rows: DataFrame) -> DataFrame:
-    """doc_id, pos, shared: runs of stored ``rows`` (doc_id, pos, shingle) that stand elsewhere too; ``first`` marks the first.
+    """doc_id, pos, first, shared: the stored runs (doc_id and ``_RUN``) that stand elsewhere too, whether this is the first
+    place, and whether another document has the run.
 
-    First occurrences are found by aggregates, which combine before the shuffle.
+    First documents are found by sums of fixed width, which combine before the shuffle; a run that a third of
+    all documents hold is joined back by broadcast.
     """
-    found = rows.groupBy("shingle").agg(F.min(F.struct("doc_id", "pos")).alias("low"), F.max("doc_id").alias("high"), F.count(F.lit(1)).alias("n"))
-    found = store(found.filter("n > 1"), "shared")
-    met = join_back(rows, found, "shingle")
-    is_first = F.col("doc_id").eqNullSafe(F.col("low.doc_id")) & (F.col("pos") == F.col("low.pos"))
-    return met.select("doc_id", "pos", is_first.alias("first"), (~F.col("low.doc_id").eqNullSafe(F.col("high"))).alias("shared"))
+    found = rows.groupBy("h1", "h2").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count(F.lit(1)).alias("n"))
+    met = join_back(rows, store(found.filter("n > 1"), "shared"), ["h1", "h2"])
+    is_first = F.col("doc_id").eqNullSafe(F.col("low")) & ~F.col("rep")
+    return met.select("doc_id", "pos", is_first.alias("first"), (~F.col("low").eqNullSafe(F.col("high"))).alias("shared"))
 
 
 def doc_dup_status(docs: DataFrame, size: int = 5) -> DataFrame:
     """doc_id, status: 0 no passage seen before, 1 some, 2 the whole text (masked) seen before."""
-    again = _again(store(shingles(docs, size), "shingles")).filter("NOT first").select("doc_id").distinct()
+    again = _again(_shingle_runs(docs, size, sentence_parts)).filter("NOT first").select("doc_id").distinct()
     whole = docs.select("doc_id", F.coalesce(F.md5(X.mask_digits(F.lower("text")).cast("binary")), F.lit("null")).alias("h"))
     seen = _firsts(whole).select("doc_id", F.coalesce(F.col("low") < F.col("doc_id"), F.lit(False)).alias("seen"))
     flagged = seen.join(again.select(F.col("doc_id").alias("id"), F.lit(True).alias("again")), F.col("doc_id").eqNullSafe(F.col("id")), "left")
@@ -175,8 +202,7 @@ def span_dedup(docs: DataFrame, size: int = 5, mark: str = "*") -> DataFrame:
     Sentences are ``sentence_chunks``; the first occurrence by (doc_id, position) stays. Status 0: nothing
     seen before; 2: what is left was left of an earlier document with removed runs, too; else 1.
     """
-    rows = store(shingles(docs, size, sentence_chunks), "shingles")
-    gone = _again(rows).filter("NOT first").groupBy("doc_id").agg(F.sort_array(F.collect_set("pos")).alias("gone"))
+    gone = _again(_shingle_runs(docs, size, sentence_chunks)).filter("NOT first").groupBy("doc_id").agg(F.sort_array(F.collect_set("pos")).alias("gone"))
     met = docs.join(gone.withColumnRenamed("doc_id", "gone_id"), F.col("doc_id").eqNullSafe(F.col("gone_id")), "left").drop("gone_id")
 
     def rewrite(text, gone):
@@ -254,11 +280,15 @@ def passages(docs: DataFrame, size: int = 50) -> DataFrame:
     def anchor_rows():
         def run(text):
             at, grams = anchors(_word_hashes(text), size)
-            return list(zip(at.tolist(), grams.view(np.int64).tolist(), strict=True))
+            seen, out = set(), []
+            for pos, gram in zip(at.tolist(), grams.view(np.int64).tolist(), strict=True):
+                out.append((pos, gram, 0, gram in seen))
+                seen.add(gram)
+            return out
 
         return run
 
-    marks = store(explode_rows(docs, "doc_id", ["text"], [("pos", T.IntegerType()), ("shingle", T.LongType())], anchor_rows), "anchors")
+    marks = store(explode_rows(docs, "doc_id", ["text"], _RUN, anchor_rows), "anchors")
     near = _again(marks).groupBy("doc_id").agg(F.sort_array(F.collect_set("pos")).alias("near")).withColumnRenamed("doc_id", "near_id")
     some = docs.select("doc_id", "text").join(near, F.col("doc_id").eqNullSafe(F.col("near_id")))
 
@@ -266,11 +296,11 @@ def passages(docs: DataFrame, size: int = 50) -> DataFrame:
         def run(text, near):
             words = (text or "").lower().split()
             starts = sorted({s for p in near for s in range(max(0, p - (size - half)), min(p, len(words) - size) + 1)})
-            return [(s, hashlib.md5(" ".join(words[s : s + size]).encode("utf-8", "surrogatepass")).digest()) for s in starts]
+            return _marked([(s, hashlib.md5(" ".join(words[s : s + size]).encode("utf-8", "surrogatepass")).digest()) for s in starts])
 
         return run
 
-    runs = store(explode_rows(some, "doc_id", ["text", "near"], [("pos", T.IntegerType()), ("shingle", T.BinaryType())], run_rows), "runs")
+    runs = store(explode_rows(some, "doc_id", ["text", "near"], _RUN, run_rows), "runs")
     found = _again(runs).groupBy("doc_id").agg(
         F.sort_array(F.collect_set(F.when(F.col("shared"), F.col("pos")))).alias("shared"), F.sort_array(F.collect_set(F.when(~F.col("first"), F.col("pos")))).alias("gone")
     ).withColumnRenamed("doc_id", "found_id")

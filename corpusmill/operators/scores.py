@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from corpusmill.functions.arrow import map_rows
 from corpusmill.functions.lexicon import CJK_LANGS, JUNK, STRIP
-from corpusmill.session import ship, store
+from corpusmill.session import broadcast_if_small, ship, store
 
 _NO_JUNK = str.maketrans("", "", JUNK)
 
@@ -139,7 +139,8 @@ def flagged_terms(docs: DataFrame, labels: DataFrame, least: int = 3, times: int
     All labelled rows count. Words are lower case, without marks at their ends.
     """
     known = labels.filter("toxic IN (0, 1)").select("doc_id", F.col("toxic").cast("long").alias("toxic"))
-    rows = docs.select("doc_id", "lang", "text").join(known, "doc_id").select("lang", "toxic", "text")
+    # texts are not shuffled as long as the labels are small enough to go to them
+    rows = docs.select("doc_id", "lang", "text").join(broadcast_if_small(known), "doc_id").select("lang", "toxic", "text")
     ship(rows.sparkSession)
 
     def run(batches):

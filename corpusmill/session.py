@@ -8,7 +8,7 @@ import os
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -140,18 +140,19 @@ def broadcast_if_small(narrow: DataFrame, most: int = MOST_BROADCAST) -> DataFra
 HOT = 1_000_000
 
 
-def join_back(rows: DataFrame, groups: DataFrame, on: str, count: str = "n", hot: int | None = None) -> DataFrame:
+def join_back(rows: DataFrame, groups: DataFrame, on: str | Sequence[str], count: str = "n", hot: int | None = None) -> DataFrame:
     """``rows`` with the columns of ``groups``, one row for each value of ``on``; ``count`` tells its rows and goes.
 
     Groups of more than ``hot`` rows (there are at most rows / hot) are joined by broadcast, so no
     task gathers such a group. Both tables are read several times: store them first. Null values of ``on`` meet nothing.
     """
     hot = HOT if hot is None else hot
+    on = [on] if isinstance(on, str) else list(on)
     large = groups.filter(F.col(count) > hot)
     if large.isEmpty():
         return rows.join(groups.drop(count), on)
     large = broadcast_if_small(large.drop(count))
-    rest = rows.join(large.select(on), on, "left_anti").join(groups.filter(F.col(count) <= hot).drop(count), on)
+    rest = rows.join(large.select(*on), on, "left_anti").join(groups.filter(F.col(count) <= hot).drop(count), on)
     return rows.join(large, on).unionByName(rest)
 
 
