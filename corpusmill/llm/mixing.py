@@ -18,7 +18,9 @@ BLOCKS blocks each, then through the documents of one block.
 
 Token counts are whitespace-separated words unless a column is named. Null text counts 0 tokens;
 documents of 0 tokens come once for each whole epoch. A null source is a source of its own. Empty
-tables give empty results. Rows that repeat an id are drawn each by itself.
+tables give empty results. Rows that repeat an id are drawn each by itself; they stand beside each other in
+every order, as their hashes are equal. Ties of the largest or smallest source don't matter: only their shares are used. A very long
+text is one draw, so its source may exceed its budget by as much. Only the named columns are read; others may have any name.
 """
 
 from __future__ import annotations

@@ -16,7 +16,9 @@ No piece holds a space mark behind another character and none holds a character
 vocabulary's alphabet, so a text falls into words: all paths meet between two, and only the score
 there passes on. A worker keeps the words it has seen behind each score, in two generations of about ``MEMO``.
 
-Null text: 0 tokens. Empty text: 0 tokens. Other columns are dropped; repeated rows stay.
+Null text: 0 tokens. Empty text: 0 tokens. Equal texts have equal counts. A text may have any length; words of
+more than ``LONGEST`` characters are counted anew each time. An empty table gives an empty result. Other columns,
+whatever their names, are dropped; repeated rows stay.
 """
 
 from __future__ import annotations
