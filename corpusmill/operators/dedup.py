@@ -22,7 +22,7 @@ from corpusmill.functions.arrow import explode_rows, map_rows
 from corpusmill.operators import text as X
 from corpusmill.operators.graph import components
 from corpusmill.operators.normalise import norm_sentences_py
-from corpusmill.session import join_back, store
+from corpusmill.session import broadcast_if_small, join_back, store
 
 
 def _firsts(rows: DataFrame) -> DataFrame:
@@ -203,9 +203,10 @@ def span_dedup(docs: DataFrame, size: int = 5, mark: str = "*") -> DataFrame:
     seen before; 2: what is left was left of an earlier document with removed runs, too; else 1.
     """
     gone = _again(_shingle_runs(docs, size, sentence_chunks)).filter("NOT first").groupBy("doc_id").agg(F.sort_array(F.collect_set("pos")).alias("gone"))
-    met = docs.join(gone.withColumnRenamed("doc_id", "gone_id"), F.col("doc_id").eqNullSafe(F.col("gone_id")), "left").drop("gone_id")
+    gone = broadcast_if_small(store(gone.withColumnRenamed("doc_id", "gone_id"), "gone"))  # texts stay where they are if the places are few
+    met = docs.select("doc_id", "text").join(gone, F.col("doc_id").eqNullSafe(F.col("gone_id")), "left").drop("gone_id")
 
-    def rewrite(text, gone):
+    def rewritten(text, gone):
         found = sentence_chunks(text) if text else []
         out, n, until, at = [], 0, 0, 0
         for i, chunk in enumerate(found):
@@ -217,13 +218,21 @@ def span_dedup(docs: DataFrame, size: int = 5, mark: str = "*") -> DataFrame:
                     out.append(mark)
             else:
                 out.append(chunk)
-        rest = " ".join(c for c in out if c is not mark)
-        return n, " ".join(out), hashlib.md5(_DIGIT.sub("1", rest.lower()).encode("utf-8", "surrogatepass")).hexdigest() if n else None
+        return n, out
 
-    fields = [("n_removed", T.LongType()), ("left", T.StringType()), ("h", T.StringType())]
-    made = store(map_rows(met, ["text", "gone"], fields, lambda: rewrite, keep=["doc_id"]), "spans")
-    cut = _firsts(made.filter("h IS NOT NULL").select("doc_id", "h")).select(F.col("doc_id").alias("id"), F.when(F.col("low") < F.col("doc_id"), 2).otherwise(1).alias("status"))
-    out = made.join(cut.distinct(), F.col("doc_id").eqNullSafe(F.col("id")), "left")
+    def rest(text, gone):
+        n, out = rewritten(text, gone)
+        left = " ".join(c for c in out if c is not mark)
+        return (hashlib.md5(_DIGIT.sub("1", left.lower()).encode("utf-8", "surrogatepass")).hexdigest() if n else None,)
+
+    def whole(text, gone):
+        n, out = rewritten(text, gone)
+        return n, " ".join(out)
+
+    rests = map_rows(met.filter("gone IS NOT NULL"), ["text", "gone"], [("h", T.StringType())], lambda: rest, keep=["doc_id"]).filter("h IS NOT NULL")
+    cut = _firsts(rests).select(F.col("doc_id").alias("id"), F.when(F.col("low") < F.col("doc_id"), 2).otherwise(1).alias("status")).distinct()
+    made = map_rows(met, ["text", "gone"], [("n_removed", T.LongType()), ("left", T.StringType())], lambda: whole, keep=["doc_id"])
+    out = made.join(broadcast_if_small(store(cut, "cut")), F.col("doc_id").eqNullSafe(F.col("id")), "left")
     return out.select("doc_id", F.coalesce("status", F.lit(0)).cast("long").alias("status"), "n_removed", F.col("left").alias("text"))
 
 
@@ -290,6 +299,7 @@ def passages(docs: DataFrame, size: int = 50) -> DataFrame:
 
     marks = store(explode_rows(docs, "doc_id", ["text"], _RUN, anchor_rows), "anchors")
     near = _again(marks).groupBy("doc_id").agg(F.sort_array(F.collect_set("pos")).alias("near")).withColumnRenamed("doc_id", "near_id")
+    near = broadcast_if_small(store(near, "near"))
     some = docs.select("doc_id", "text").join(near, F.col("doc_id").eqNullSafe(F.col("near_id")))
 
     def run_rows():

@@ -53,10 +53,6 @@ def mask_digits(text: Column) -> Column:
     return F.regexp_replace(text, r"\p{Nd}", "1")
 
 
-def sentences(text: Column) -> Column:
-    return F.array_remove(F.split(text, r"[.!?]+[ \n]*"), "")
-
-
 def lang_rules(first: str, score: str, second: str, stop: dict[str, str], script: str) -> tuple[Column, Column]:
     """(lang_id, score) from two opinions, stop-word shares by language (columns ``stop``) and the script.
 

@@ -19,9 +19,9 @@ def _texts(n, seed=4, size=30):
     return [" ".join(rng.choice("abcde") for _ in range(rng.randint(0, size))) for _ in range(n)]
 
 
-@pytest.mark.parametrize("most_bytes", [ngrams.MOST_PAIRS, 0])
+@pytest.mark.parametrize("most_bytes", [ngrams.MOST_HASHES, 0])
 def test_ngram_counts_equal_brute_force(spark, monkeypatch, most_bytes):
-    monkeypatch.setattr(ngrams, "MOST_PAIRS", most_bytes)
+    monkeypatch.setattr(ngrams, "MOST_HASHES", most_bytes)
     monkeypatch.setattr(ngrams, "HELD", 50)
     texts = _texts(40)
     docs = spark.createDataFrame([*((i, t, "xy"[i % 2]) for i, t in enumerate(texts)), (98, None, None), (99, "", "x")], "doc_id long, text string, lang string")
@@ -124,6 +124,11 @@ def test_numbered_lines_have_byte_offsets(spark, tmp_path):
     assert [(r.line_no, r.offset, r.text) for r in archives.numbered_lines(spark, str(tmp_path / "b.gz")).collect()] == [(0, 0, "x"), (1, 2, "y")]
 
 
+def test_lines_with_escapes(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("one\\ntwo\nthree\n")
+    assert sorted(r.text for r in archives.read_lines(spark, str(tmp_path / "a.txt")).collect()) == ["one\ntwo", "three"]
+
+
 def test_binary_payloads_stay_whole(spark, tmp_path):
     pdf = bytes(range(256)) + b"WARC/1.0 inside"
     body = b"HTTP/1.1 200 OK\r\nContent-Type: application/pdf\r\n\r\n" + pdf
