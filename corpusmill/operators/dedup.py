@@ -82,7 +82,8 @@ def hamming_pairs(codes: DataFrame, distance: int = 3, blocks: int = 6) -> DataF
 
     Of ``blocks`` parts of a code at least blocks - distance are equal: each choice of so many is a
     key. With 6 parts a key has about 32 bits, so chance meetings stay rare in billions of codes.
-    Copies share a code, so no group of copies is ever paired.
+    Copies share a code, so no group of copies is ever paired. The keys are merged, never broadcast:
+    Spark takes the size of the exploded rows from the codes, a twentieth of it.
     """
     ends = [round(64 * i / blocks) for i in range(blocks + 1)]
     keys = []
@@ -91,7 +92,7 @@ def hamming_pairs(codes: DataFrame, distance: int = 3, blocks: int = 6) -> DataF
         mask -= (mask >> 63) << 64
         keys.append(F.xxhash64(F.col("code").bitwiseAND(F.lit(mask).cast("long")), F.lit(len(keys))))
     dealt = codes.select(F.col("simhash").alias("code")).distinct().select("code", F.explode(F.array(*keys)).alias("key"))
-    pairs = dealt.toDF("a", "key").join(dealt.toDF("b", "key"), "key").filter("a < b AND bit_count(a ^ b) <= %d" % distance)
+    pairs = dealt.toDF("a", "key").hint("merge").join(dealt.toDF("b", "key"), "key").filter("a < b AND bit_count(a ^ b) <= %d" % distance)
     return pairs.select("a", "b", F.expr("bit_count(a ^ b)").cast("long").alias("dist")).distinct()
 
 
