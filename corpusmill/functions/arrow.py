@@ -16,10 +16,10 @@ from corpusmill.session import ship, spread
 PART = 1024
 
 
-def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _parts(batches: Iterator[pa.RecordBatch], rows: int = PART) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for start in range(0, max(1, batch.num_rows), PART):
-            yield batch.slice(start, PART)
+        for start in range(0, max(1, batch.num_rows), rows):
+            yield batch.slice(start, rows)
 
 
 def map_rows(df: DataFrame, columns: Sequence[str], fields: Sequence[tuple[str, T.DataType]], setup: Callable[[], Callable], keep: Sequence[str] | None = None) -> DataFrame:

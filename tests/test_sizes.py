@@ -1,6 +1,11 @@
 """What must hold at sizes that tests can't reach."""
 
-from corpusmill.operators import dedup
+import random
+from collections import Counter
+
+import pytest
+
+from corpusmill.operators import dedup, ngrams
 
 
 def test_exploded_keys_are_never_broadcast(spark):
@@ -9,3 +14,21 @@ def test_exploded_keys_are_never_broadcast(spark):
     pairs.collect()
     plan = pairs._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan.split("== Initial Plan ==")[0]
+
+
+def _texts(rows=120, seed=5):
+    rng = random.Random(seed)
+    return [" ".join(rng.choice("a b c d e f g h é ퟿".split()) for _ in range(rng.randrange(60))) for _ in range(rows)]
+
+
+@pytest.mark.parametrize("group", [None, "lang"])
+def test_no_hash_of_an_ngram_goes_to_the_driver(spark, monkeypatch, group):
+    texts = _texts()
+    docs = spark.createDataFrame([(t, ["en", "d\te\n", None][i % 3]) for i, t in enumerate(texts)], "text string, lang string")
+    want = Counter()
+    for i, t in enumerate(texts):
+        words = t.split()
+        want.update(((["en", "d\te\n", None][i % 3] if group else None), n, " ".join(words[j : j + n])) for n in range(1, 6) for j in range(len(words) - n + 1))
+    monkeypatch.setattr(type(docs), "toPandas", lambda self: pytest.fail("rows for each n-gram on the driver"))
+    got = {(r[group] if group else None, r.n, r.ngram): r.cnt for r in ngrams.ngram_counts(docs, group=group).collect()}
+    assert got == {k: c for k, c in want.items() if c >= 5}
