@@ -112,7 +112,7 @@ def indexed_search(spark, sf_dir):
     """The same from an index written to a folder and read again."""
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     path = f"{_shared_folder(spark)}/index-{uuid.uuid4().hex}"
-    lexical.save_index(docs, path, buckets=16)
+    lexical.save_index(docs, path)
     return lexical.search_index(spark, path, _asked(docs))
 
 

@@ -5,7 +5,7 @@ from collections import Counter
 
 import pytest
 
-from corpusmill.operators import dedup, ngrams
+from corpusmill.operators import dedup, lexical, ngrams
 
 
 def test_exploded_keys_are_never_broadcast(spark):
@@ -46,3 +46,13 @@ def test_any_number_of_compounds_is_joined(spark, most):
     for i, t in enumerate([*texts, ""]):
         made = ngrams.join_compounds(t.split(), frozenset(compounds), lengths, synonyms)
         assert got[i] == (sum("_" in w for w in made), " ".join(made))
+
+
+def test_an_index_is_searched_without_shuffling_postings(spark, tmp_path):
+    docs = spark.createDataFrame([*enumerate(_texts(30, 3)), (30, None), (None, "a b")], "doc_id long, text string")
+    asked = docs.filter("doc_id % 7 = 0").withColumnRenamed("doc_id", "query_id")
+    lexical.save_index(docs, str(tmp_path))
+    found = lexical.search_index(spark, str(tmp_path), asked)
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, lexical.bm25(docs, asked).collect()))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "MapInArrow" in plan
