@@ -81,6 +81,27 @@ def batches_of(spark: SparkSession, rows: int | None) -> Iterator[None]:
         spark.conf.set(key, before)
 
 
+@contextlib.contextmanager
+def measured_joins(spark: SparkSession) -> Iterator[None]:
+    """What runs inside broadcasts a table unasked only after its rows were measured in a shuffle.
+
+    Spark takes the size of a stored table from its compressed files, which may be a hundredth of its
+    rows: it would build a broadcast table that the driver can't hold.
+    """
+    key, adaptive = "spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"
+    before, measured = spark.conf.get(key), spark.conf.get(adaptive, None)
+    spark.conf.set(adaptive, before if measured is None else measured)
+    spark.conf.set(key, "-1")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+        if measured is None:
+            spark.conf.unset(adaptive)
+        else:
+            spark.conf.set(adaptive, measured)
+
+
 def store(df: DataFrame, name: str = "part", batch: int | None = None) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read again.
 
@@ -127,13 +148,13 @@ MOST_BROADCAST, ROW_BYTES = 32 * 2**20, 32
 
 
 def broadcast_if_small(narrow: DataFrame, most: int = MOST_BROADCAST) -> DataFrame:
-    """``narrow`` marked for broadcast if it takes at most ``most`` bytes, else as it is (a shuffled join)."""
+    """``narrow`` marked for broadcast if it takes at most ``most`` bytes, else for a shuffled join, whatever its files take."""
     fixed = (T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
     texts = [f.name for f in narrow.schema if not isinstance(f.dataType, fixed)]
     row = ROW_BYTES + 8 * (len(narrow.columns) - len(texts))
     sizes = (F.sum(F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0))) for c in texts)
     count, *lengths = narrow.limit(most // row + 1).agg(F.count(F.lit(1)), *sizes).first()
-    return F.broadcast(narrow) if count * row + sum(n or 0 for n in lengths) <= most else narrow
+    return F.broadcast(narrow) if count * row + sum(n or 0 for n in lengths) <= most else narrow.hint("merge")
 
 
 #: Rows of one key from which on its group is joined by broadcast.
