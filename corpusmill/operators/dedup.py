@@ -22,7 +22,7 @@ from corpusmill.functions.arrow import explode_rows, map_rows
 from corpusmill.operators import text as X
 from corpusmill.operators.graph import components
 from corpusmill.operators.normalise import norm_sentences_py
-from corpusmill.session import broadcast_if_small, join_back, store
+from corpusmill.session import broadcast_if_small, join_back, measured_joins, store
 
 
 def _firsts(rows: DataFrame) -> DataFrame:
@@ -98,11 +98,11 @@ def hamming_pairs(codes: DataFrame, distance: int = 3, blocks: int = 6) -> DataF
 
 def dup_clusters(docs: DataFrame, distance: int = 3) -> DataFrame:
     """doc_id, cluster_id: the lowest id among documents whose codes are linked, directly or in steps."""
-    codes = store(simhash(docs), "simhash")
-    pairs = store(hamming_pairs(codes, distance), "pairs")
-    labels = components(pairs)
-    named = codes.join(labels.toDF("simhash", "comp"), "simhash", "left").select("doc_id", F.coalesce("comp", "simhash").alias("comp"))
-    return _firsts(named.withColumnRenamed("comp", "h")).select("doc_id", F.col("low").alias("cluster_id"))
+    with measured_joins(docs.sparkSession):
+        codes = store(simhash(docs), "simhash")
+        labels = components(store(hamming_pairs(codes, distance), "pairs"))
+        named = codes.join(labels.toDF("simhash", "comp"), "simhash", "left").select("doc_id", F.coalesce("comp", "simhash").alias("h"))
+        return _firsts(named).select("doc_id", F.col("low").alias("cluster_id"))
 
 
 _DIGIT = re.compile(r"\d")

@@ -6,6 +6,7 @@ from collections import Counter
 import pytest
 
 from corpusmill.operators import dedup, lexical, ngrams
+from corpusmill.session import store
 
 
 def test_exploded_keys_are_never_broadcast(spark):
@@ -56,3 +57,27 @@ def test_an_index_is_searched_without_shuffling_postings(spark, tmp_path):
     assert sorted(map(tuple, found.collect())) == sorted(map(tuple, lexical.bm25(docs, asked).collect()))
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan and "MapInArrow" in plan
+
+
+def test_clusters_measure_what_they_stored(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"w{i} a b c d e f g h") for i in range(50)], "doc_id long, text string")
+    linked, plans = dedup.components, []
+
+    def spy(edges):
+        # 20,000 rows of 24 bytes in files of a few kilobytes
+        rows = store(spark.range(20_000, numPartitions=1).selectExpr("id % 2000 AS a", "id % 7 AS b"))
+        joined = rows.join(rows.toDF("a", "c"), "a").filter("b < c").select("b", "c").distinct()
+        joined.collect()
+        plans.append(joined._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0])
+        return linked(edges)
+
+    monkeypatch.setattr(dedup, "components", spy)
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "200k")
+    try:
+        assert dedup.dup_clusters(docs).count() == 50
+        assert spark.conf.get(key) == "200k"
+    finally:
+        spark.conf.set(key, before)
+    assert plans and "SortMergeJoin" in plans[0] and "BroadcastHashJoin" not in plans[0]
