@@ -143,8 +143,9 @@ def ascii_lower(column) -> F.Column:
     return F.translate(column, upper, upper.lower())
 
 
-#: Bytes of a table that may be broadcast, and what a row takes beside its texts.
-MOST_BROADCAST, ROW_BYTES = 32 * 2**20, 32
+#: Bytes of a table that may be broadcast, and what a row takes beside its texts and numbers: a row of one number took 100 bytes
+#: of a broadcast table that was joined by ``eqNullSafe`` (key, value, their lengths and places).
+MOST_BROADCAST, ROW_BYTES = 32 * 2**20, 96
 
 
 def broadcast_if_small(narrow: DataFrame, most: int = MOST_BROADCAST) -> DataFrame:

@@ -40,3 +40,19 @@ def test_a_table_judged_too_large_is_not_broadcast(spark):
     few = spark.createDataFrame([(i,) for i in range(50)], "shingle long")
     assert "SortMergeJoin" in _plan(few.join(broadcast_if_small(rows, 100_000), "shingle"))
     assert "BroadcastHashJoin" in _plan(few.join(broadcast_if_small(rows), "shingle"))
+
+
+def test_a_broadcast_table_takes_what_it_may(spark):
+    rows = store(spark.range(20_000).toDF("gone"), "gone")
+    docs = spark.range(50).toDF("doc_id")
+    # 20,000 numbers are 2 MB once they are broadcast for such a join
+    joined = docs.join(broadcast_if_small(rows, 1_000_000), docs["doc_id"].eqNullSafe(rows["gone"]), "left_anti")
+    assert "SortMergeJoin" in _plan(joined) and joined.isEmpty()
+
+
+def test_the_shorter_list_of_ids_is_joined(spark):
+    copies = spark.createDataFrame([(i, "a b c d e f" if i < 8 else f"w{i} b c d e f") for i in range(10)], "doc_id long, text string")
+    kept = near_dedup.keep_one(copies)
+    assert "LeftSemi" in _plan(kept) and sorted(r.doc_id for r in kept.collect()) == [0, 8, 9]
+    kept = near_dedup.keep_one(copies.filter("doc_id > 5").union(spark.createDataFrame([(None, "z y x w")], copies.schema)))
+    assert "LeftAnti" in _plan(kept) and sorted((r.doc_id for r in kept.collect()), key=str) == [6, 8, 9, None]
